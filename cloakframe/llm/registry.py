@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, warc
+from . import bpe, exact_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_bpe": bpe.op2_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 
