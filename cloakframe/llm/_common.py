@@ -96,3 +96,13 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20
 def binary_array(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary array from one buffer and its offsets."""
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+BROADCAST_BYTES = 64 << 20
+
+
+def small_enough(table: DataFrame, size: Column, rows: int = 1_000_000) -> DataFrame:
+    """``table`` (a work table) marked for broadcast if its counted rows and the summed
+    ``size`` of them allow that; unchanged otherwise, to be joined by a shuffle."""
+    n, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(table) if n <= rows and total <= BROADCAST_BYTES else table

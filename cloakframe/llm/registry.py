@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, simhash, warc
+from . import bpe, exact_dedup, simhash, substring_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 
 SQL = {
