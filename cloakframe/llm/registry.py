@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, simhash, substring_dedup, warc
+from . import bpe, exact_dedup, language_id, simhash, substring_dedup, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,9 +10,12 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_topk": topk.op9_topk,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 SQL = {
     "op1_warc": warc.OP1_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op9_topk": topk.OP9_SQL,
 }
