@@ -188,7 +188,7 @@ def repeated_intervals(docs: DataFrame, width: int = 50, text: str = "text") ->
     little-endian unsigned 32-bit integers) of every text with repeated windows."""
     n = partitions(docs.sparkSession)
     hashed = docs.select(F.col(text).alias("_text")).mapInArrow(_hash_chunks(width, n, CHUNK), _DDL)
-    answers = hashed.repartition(n, "route").mapInArrow(_find_repeated, _DDL)
+    answers = hashed.repartitionById(n, (F.col("route") % n).cast("int")).mapInArrow(_find_repeated, _DDL)
     found = answers.repartition(n, "chunk").mapInArrow(_intervals(width), "key binary, intervals binary")
     return found.groupBy("key").agg(F.max("intervals").alias("intervals"))
 

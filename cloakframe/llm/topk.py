@@ -100,7 +100,7 @@ def _blocks(groups: int, queries: bool):
     """Packed blocks of vectors: queries go to every group, candidates to one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() * 7919
+        at = TaskContext.get().partitionId()
         for batch in batches:
             for ids, m in _floor(batch) if batch.num_rows else []:
                 for s in range(0, len(ids), BLOCK):
@@ -145,7 +145,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     candidates = rows.select("id", "vec").mapInArrow(_blocks(groups, False), kind)
     queries = asked.mapInArrow(_blocks(groups, True), kind)
     # a group's candidates come before its queries
-    dealt = candidates.unionByName(queries).repartition(max(groups, 1), "grp").sortWithinPartitions("grp", "dim", "kind")
+    dealt = candidates.unionByName(queries).repartitionById(groups, F.col("grp").cast("int")).sortWithinPartitions("grp", "dim", "kind")
     best = work_table(dealt.mapInArrow(_search(k), "query_id long, vec_id long, score long"), "topk")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
