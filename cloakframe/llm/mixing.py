@@ -9,9 +9,10 @@ holds, then, in the order of the next epoch's seed, the longest prefix of docume
 tokens fit into the rest.
 
 Scale: everything but the last join works on one row a leaf, or on one row for each leaf
-and one of 4096 slices of the epoch's order, pre-aggregated before the shuffle. The prefix
-ends inside one slice; only that slice's documents are ordered, so a leaf with a third of all
-rows is never sorted in one task. The outcome is one cut a leaf, and each document decides
+and one of 256 slices of the epoch's order, pre-aggregated before the shuffle. The prefix
+ends inside one slice, which is sliced again, and again; only one of 16.7 million slices of
+a leaf is ordered by document, so a leaf with a third of all rows is never sorted in one
+task. The outcome is one cut a leaf, and each document decides
 by its own order key, so texts are never shuffled while Spark can broadcast one row a leaf
 (by its size), and adaptive execution splits a hot leaf beyond that.
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from ._common import work_table
 
 LEVELS = ("_domain", "_lang", "_source")
+DIGITS = (2, 4, 6)  # of the order key: slices, slices of the slice where the prefix ends, and so on
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,17 +71,17 @@ def _fill(children: DataFrame, parent: list[str], child: str) -> DataFrame:
     )
 
 
-def leaf_budgets(supply: DataFrame, weights: dict[tuple[str, ...], int], budget: Column, max_epochs: int) -> DataFrame:
+def leaf_budgets(supply: DataFrame, weights: dict[tuple[str, ...], int], share: tuple[int, int], max_epochs: int) -> DataFrame:
     """``supply`` (the three levels, tokens) with ``given``, the token budget of each leaf."""
     paths = [LEVELS[:n] for n in (1, 2, 3)]
     leaf = supply.withColumns({f"w{n}": _weight(weights, p) for n, p in zip((1, 2, 3), paths, strict=True)})
     live = "w1 > 0 and w2 > 0 and w3 > 0"
     leaf = leaf.withColumn("capacity", F.col("tokens") * max_epochs)
-    sums = leaf.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(F.expr(live), F.col("capacity"))), F.lit(0)).alias("usable"))
-    root = sums.select(F.lit(0).alias("root"), F.least(budget, F.col("usable")).cast("long").alias("budget"))
+    sums = leaf.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.when(F.expr(live), F.col("capacity"))), F.lit(0))).first()
+    usable = min(sums[0] * share[0] // share[1], sums[1])
     leaf = leaf.where(live)
     tree = {n: leaf.groupBy(*p, *[f"w{k}" for k in range(1, n + 1)]).agg(F.sum("capacity").alias("capacity")) for n, p in zip((1, 2), paths, strict=False)} | {3: leaf}
-    given = _fill(tree[1].withColumn("root", F.lit(0)).join(F.broadcast(root), "root").withColumn("weight", F.col("w1")), ["root"], LEVELS[0])
+    given = _fill(tree[1].withColumns({"root": F.lit(0), "budget": F.lit(usable).cast("long"), "weight": F.col("w1")}), ["root"], LEVELS[0])
     for n in (2, 3):
         parent = list(paths[n - 2])
         above = given.select(*parent, F.col("given").alias("budget"))
@@ -94,21 +96,22 @@ def plan(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], int], s
     tokens = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     slim = work_table(docs.select(blank(domain).alias("_domain"), blank(F.col(lang)).alias("_lang"), blank(F.col(source)).alias("_source"), F.col(doc_id).alias("_id"), tokens.alias("_tokens")), "tokens")
     supply = slim.groupBy(*LEVELS).agg(F.sum("_tokens").alias("tokens"))
-    budget = F.expr(f"tokens * {share[0]} div {share[1]}")
-    leaves = leaf_budgets(supply, weights, budget, max_epochs)
+    leaves = leaf_budgets(supply, weights, share, max_epochs)
     leaves = leaves.withColumn("full", F.least(F.when(F.col("tokens") > 0, F.expr("given div tokens")).otherwise(F.lit(0)), F.lit(max_epochs)).cast("long"))
     leaves = work_table(leaves.withColumn("rest", F.col("given") - F.col("full") * F.col("tokens")), "leaves")
     some = leaves.where("rest > 0").select(*[F.col(c).alias(f"l{c}") for c in LEVELS], "full", "rest")
     match = [F.col(c) == F.col(f"l{c}") for c in LEVELS]
-    keyed = slim.join(some, match).drop(*[f"l{c}" for c in LEVELS]).withColumn("key", _order_key(seed, F.col("full") + 1, "_id")).withColumn("slice", F.substring("key", 1, 3))
-    slices = keyed.groupBy(*LEVELS, "slice", "rest").agg(F.sum("_tokens").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("slice"))
-    ends = slices.withColumn("upto", upto).where("upto > rest and upto - n <= rest").select(*[F.col(c).alias(f"l{c}") for c in LEVELS], F.col("slice").alias("lslice"), F.expr("rest - (upto - n)").alias("room"))
-    ends = work_table(ends, "ends")
-    inside = keyed.join(ends, [*match, F.col("slice") == F.col("lslice")])
+    inside = slim.join(some, match).select(*LEVELS, "_tokens", "rest", _order_key(seed, F.col("full") + 1, "_id").alias("key"))
+    for digits in DIGITS:
+        sliced = inside.withColumn("slice", F.substring("key", 1, digits))
+        sums = sliced.groupBy(*LEVELS, "slice", "rest").agg(F.sum("_tokens").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("slice"))
+        ends = sums.withColumn("upto", upto).where("upto > rest and upto - n <= rest").select(*[F.col(c).alias(f"l{c}") for c in LEVELS], F.col("slice").alias("lslice"), F.expr("rest - (upto - n)").alias("room"))
+        ends = work_table(ends, "ends")
+        inside = sliced.join(ends, [*match, F.col("slice") == F.col("lslice")]).select(*LEVELS, "_tokens", F.col("room").alias("rest"), "key")
     run = F.sum("_tokens").over(Window.partitionBy(*LEVELS).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    taken = inside.withColumn("upto", run).where("upto <= room").groupBy(*LEVELS).agg(F.max("key").alias("last"))
-    # without a document in that slice the prefix ends before it
+    taken = inside.withColumn("upto", run).where("upto <= rest").groupBy(*LEVELS).agg(F.max("key").alias("last"))
+    # without a document in the last slice the prefix ends before it
     cuts = ends.select(*[F.col(f"l{c}").alias(c) for c in LEVELS], "lslice").join(taken, list(LEVELS), "left").select(*LEVELS, F.coalesce("last", "lslice").alias("cut"))
     return leaves.join(cuts, list(LEVELS), "left").select(*LEVELS, "tokens", "given", "full", F.when(F.col("rest") > 0, F.coalesce("cut", F.lit("g"))).alias("cut"))
 
