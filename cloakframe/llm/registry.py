@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, mixing, simhash, substring_dedup, topk, warc
+from . import bpe, exact_dedup, language_id, language_model, mixing, simhash, substring_dedup, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
+    "op4_language_model": language_model.op4_language_model,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
