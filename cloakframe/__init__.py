@@ -1,3 +1,28 @@
 """cloakframe: personal-data detection, redaction and exposure reports as Spark plans."""
 
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
 __version__ = "0.1.0"
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Send this package to the executors of the session, once for each application.
+
+    Spark's own file server hands the archive out, so nothing needs to be installed there.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="cloakframe-ship-")) / "cloakframe.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
