@@ -43,8 +43,9 @@ CLASSES = 40
 TOP_WORDS = 15
 BUCKETS = 1 << 15
 FREQUENT = 300_000
-UPDATES = 25
+UPDATES = 40
 FEATURES = 7
+PRIOR = 10.0  # of a weight's Gaussian prior: the inverse variance
 _FIRST_SPELLED = 1 + TOP_WORDS
 _COMPACT = 1 << 20
 
@@ -267,7 +268,7 @@ def fit(train: DataFrame, updates: int = UPDATES) -> tuple[Model, DataFrame]:
         held.destroy()
         t = t + 1 if gain >= best else 1.0
         best = gain
-        before, weights = weights, ahead + grad / (0.5 * FEATURES * weight + 1.0)[:, None]
+        before, weights = weights, ahead + (grad - PRIOR * ahead) / (0.5 * FEATURES * weight + PRIOR)[:, None]
     model.weights = weights.astype(np.float32)
     return model, (counts.where(step < floor) if floor is not None else counts).select("h", "n")
 
