@@ -30,10 +30,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import buffers, by_size, fresh, partitions, work_table
+from ._common import buffers, by_size, fresh, partitions, small_enough, work_table
 from ._words import mix
 from .components import stars
 
@@ -41,40 +41,47 @@ SEED = 42
 BITS = 64
 
 
-def fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
-    """A 64-bit fingerprint of each text."""
-    digests, counts = [], np.zeros(len(texts), np.int64)
+def fingerprints(texts: list[bytes], shingle: int, seeds: tuple[int, ...] = (SEED,)) -> np.ndarray:
+    """A 64-bit fingerprint of each text for each seed (texts x seeds)."""
+    digests, counts = [[] for _ in seeds], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
         words = text.lower().split()  # of bytes: A-Z only, and exactly space and 0x09-0x0D
         if not words:
             continue
         runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-        got = b"".join(map(xxhash.xxh64_digest, runs, repeat(SEED)))
-        counts[k] = len(got) // 8
-        digests.append(got)
-    out = np.zeros(len(texts), np.uint64)
-    if not digests:
-        return out
-    bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1)
+        runs = runs if len(seeds) == 1 else list(runs)
+        for seed, own in zip(seeds, digests, strict=True):
+            own.append(b"".join(map(xxhash.xxh64_digest, runs, repeat(seed))))
+        counts[k] = len(digests[0][-1]) // 8
+    out = np.zeros((len(texts), len(seeds)), np.uint64)
     has = counts > 0
+    if not has.any():
+        return out
     n = counts[has]
-    sums = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-    out[has] = np.packbits(2 * sums > n[:, None], axis=1).view(">u8").reshape(-1)
+    for s, own in enumerate(digests):
+        bits = np.unpackbits(np.frombuffer(b"".join(own), np.uint8).reshape(-1, 8), axis=1)
+        sums = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
+        out[has, s] = np.packbits(2 * sums > n[:, None], axis=1).view(">u8").reshape(-1)
     return out
 
 
-def fingerprint(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's bits as a long) of every row."""
+def fingerprint(docs: DataFrame, shingle: int, seeds: tuple[int, ...] = (SEED,), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``key`` (hash of doc_id and text) and for each seed ``fp0, fp1, ...`` (the bits as a long)."""
+    names = [f"fp{k}" for k in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches, "_text", 2 << 20):
             data, o = buffers(b.column("_text"))
             raw = data.tobytes()
-            fp = fingerprints([raw[s:e] for s, e in zip(o[:-1], o[1:], strict=True)], shingle)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = fingerprints([raw[s:e] for s, e in zip(o[:-1], o[1:], strict=True)], shingle, seeds)
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_key"), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in fp.T)], ["doc_id", "key", *names])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), row_key(doc_id, text).alias("_key"))
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "key long", *(f"{n} long" for n in names)]))
+
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+def row_key(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
 class Forest:
@@ -235,17 +242,47 @@ def links(distinct: DataFrame, count: int, budget: int) -> DataFrame:
     return routed.repartition(n, "route").select("block", "key").mapInArrow(_join(budget), "u long, v long")
 
 
-def components(docs: DataFrame, shingle: int = 5, budget: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` of every row; component_id is the smallest doc_id reachable by links."""
-    table = work_table(fingerprint(docs, shingle, doc_id, text), "fingerprints")
-    least = work_table(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = work_table(stars(links(least, least.count(), budget)), "roots")
-    member = roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    known = member.join(least, member["node"] == least["fp"]).select("node", "root", "least")
-    lowest = known.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component"))
-    named = known.join(lowest, fresh(known["root"]) == fresh(lowest["r"])).select("node", "component")
-    info = least.join(named, least["fp"] == named["node"], "left").select(F.col("fp").alias("k"), F.coalesce("component", "least").alias("component_id"))
-    return table.join(info, fresh(table["fp"]) == fresh(info["k"])).select("doc_id", "fp", "component_id")
+def _edges(table: DataFrame, name: str, budget: int) -> DataFrame:
+    """Edges between nodes ``fp0`` that the fingerprints ``name`` imply: equal ones and linked ones."""
+    if name == "fp0":
+        nodes = work_table(table.select(F.col("fp0").alias("fp")).distinct(), "distinct")
+        return links(nodes, nodes.count(), budget)
+    pairs = work_table(table.select("fp0", name).distinct(), "pairs")
+    least = work_table(pairs.groupBy(F.col(name).alias("fp")).agg(F.min("fp0").alias("node")), "distinct")
+    equal = pairs.join(least, fresh(pairs[name]) == fresh(least["fp"])).select(F.col("fp0").alias("u"), F.col("node").alias("v"))
+    found = links(least, least.count(), budget)
+    left, right = (least.select(F.col("fp").alias(f"{x}fp"), F.col("node").alias(f"{x}node")) for x in "uv")
+    linked = found.join(left, found["u"] == left["ufp"]).join(right, found["v"] == right["vfp"]).select(F.col("unode").alias("u"), F.col("vnode").alias("v"))
+    return equal.where("u <> v").unionByName(linked)
+
+
+def components(docs: DataFrame, shingle: int = 5, budget: int = 3, seeds: tuple[int, ...] = (SEED,), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, key, fp, root, component_id`` of every row: the first seed's fingerprint, the
+    component's smallest one, and its smallest doc_id. Rows link if the fingerprints of any
+    seed do; each seed more finds links that another's rounding misses."""
+    table = work_table(fingerprint(docs, shingle, seeds, doc_id, text), "fingerprints")
+    edges = [_edges(table, f"fp{k}", budget) for k in range(len(seeds))]
+    every = edges[0]
+    for more in edges[1:]:
+        every = every.unionByName(more)
+    roots = work_table(stars(every), "roots")
+    least = table.groupBy("fp0").agg(F.min("doc_id").alias("least"))
+    root = F.coalesce("root", "fp0").alias("root")
+    info = work_table(least.join(roots, fresh(least["fp0"]) == fresh(roots["u"]), "left").select("fp0", root, "least"), "nodes")
+    member = roots.select(F.col("root").alias("r")).distinct()
+    lowest = info.join(member, fresh(info["root"]) == fresh(member["r"]), "left_semi").groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component"))
+    named = info.join(lowest, fresh(info["root"]) == fresh(lowest["r"]), "left").select(F.col("fp0").alias("k"), "root", F.when(F.col("r").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
+    return table.join(named, fresh(table["fp0"]) == fresh(named["k"])).select("doc_id", "key", F.col("fp0").alias("fp"), "root", "component_id")
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, budget: int = 3, seeds: tuple[int, ...] = (SEED,), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest doc_id (rows
+    without come last, ties by hash). Rows that repeat doc_id and text are one document."""
+    rows = work_table(components(docs, shingle, budget, seeds, doc_id, text).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("row")), "members")
+    first = rows.groupBy(F.col("root").alias("r")).agg(F.min("row").alias("first"))
+    gone = rows.join(first, fresh(rows["root"]) == fresh(first["r"])).where("row <> first").select(F.col("row.key").alias("__gone")).distinct()
+    gone = small_enough(work_table(gone, "gone"), F.lit(8))
+    return docs.join(gone, row_key(doc_id, text) == gone["__gone"], "left_anti")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,3 +105,32 @@ def test_components_of_paths_and_hubs(spark):
     got = {r.u: r.root for r in stars(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[k] == 0 for k in range(1, 61)) and all(got[k] == 1000 for k in range(1001, 1100)) and got[2000] == -9
     assert 0 not in got and -5 not in got
+
+
+def test_near_dedup_keeps_one_of_each_group(spark):
+    rng = random.Random(9)
+    base = " ".join(f"w{rng.randrange(4000)}" for _ in range(900))
+    near = base.replace(base.split()[400], "changed", 1)
+    rows = [(5, base, "x"), (3, near, "y"), (8, base, None), (8, base, None), (7, "other text here", "z"), (None, near, "q"), (1, None, "n"), (2, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = simhash.near_dedup(df, 3, 3, seeds=(42, 43, 44, 45))
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, None, "n"), (3, near, "y"), (7, "other text here", "z")]
+    assert simhash.near_dedup(df.limit(0), 3).count() == 0
+
+
+def test_several_seeds_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows, seeds = docs.collect(), (42, 7, 8)
+    fps = simhash.fingerprints([(r.text or "").encode() for r in rows], 3, seeds)
+    n = len(rows)
+    label = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if any((int(fps[i, s]) ^ int(fps[j, s])).bit_count() <= 6 for s in range(3)):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    least = {}
+    for r, c in zip(rows, label):
+        least[c] = min(least.get(c, r.doc_id), r.doc_id)
+    want = {r.doc_id: least[c] for r, c in zip(rows, label)}
+    assert {r.doc_id: r.component_id for r in simhash.components(docs, 3, 6, seeds).collect()} == want
