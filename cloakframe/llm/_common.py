@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -91,6 +93,14 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker serves many tasks and must stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def binary_array(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:

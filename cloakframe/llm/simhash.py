@@ -70,7 +70,7 @@ def fingerprint(docs: DataFrame, shingle: int, seeds: tuple[int, ...] = (SEED,),
     names = [f"fp{k}" for k in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, "_text", 2 << 20):
+        for b in by_size(batches, "_text", 1 << 20):
             data, o = buffers(b.column("_text"))
             raw = data.tobytes()
             fp = fingerprints([raw[s:e] for s, e in zip(o[:-1], o[1:], strict=True)], shingle, seeds)
