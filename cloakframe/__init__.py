@@ -8,6 +8,8 @@ from pathlib import Path
 
 __version__ = "0.1.0"
 
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -15,8 +17,11 @@ def ship(spark) -> None:
     """Send this package to the executors of the session, once for each application.
 
     Spark's own file server hands the archive out, so nothing needs to be installed there.
+    Arrow batches are bounded to ``BATCH_BYTES`` where the session has Spark's default.
     """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, "") in ("67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
