@@ -20,7 +20,7 @@ def ship(spark) -> None:
     Arrow batches are bounded to ``BATCH_BYTES`` where the session has Spark's default.
     """
     sc = spark.sparkContext
-    if spark.conf.get(_BATCH, "") in ("67108864b", "64MB", "64m"):
+    if spark.conf.get(_BATCH, None) in ("67108864b", "64MB", "64m"):
         spark.conf.set(_BATCH, BATCH_BYTES)
     if sc.applicationId in _shipped:
         return

@@ -1,0 +1,219 @@
+"""Whole-cell redaction of any DataFrame, of nested columns, and of JSON payloads.
+
+Names are decided once, when the plan is built; a named column's values are never looked
+at. Other strings go through the cascade, one projection inside the same stage as the scan:
+no shuffle, filters and pruning of the query below keep working. Python workers appear only
+for hashing and for strings that look like JSON, and get nulls for all other rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import cascade
+from ..functions.hashing import pseudonym_column
+from ..functions.names import classify, classify_column
+from ..functions.walk import Walker, dump, parse
+from ..plans.config import Config
+
+_LABELS, _WARNINGS = "array<string>", "array<struct<column:string,pattern:string,score:double>>"
+_JSON = "text string, labels array<string>, warnings array<string>"
+
+
+def named(name: str, config: Config, forced: dict[str, str]) -> str | None:
+    """The label that a column's name alone decides."""
+    low = name.lower()
+    if low in config.allowed:
+        return None
+    return forced.get(low) or classify(name) or (low if low in config.denied else None)
+
+
+def _named_column(key: Column, config: Config, forced: dict[str, str]) -> Column:
+    """:func:`named` for names that are data, the keys of a map."""
+    low = F.lower(key)
+    options = [F.when(low == k, F.lit(v)) for k, v in forced.items()]
+    options += [classify_column(key), F.when(low.isin(*config.denied), low)]
+    return F.when(~low.isin(*config.allowed) if config.allowed else F.lit(True), F.coalesce(*options))
+
+
+def _placeholder(label: Column, value: Column, config: Config, inner: bool) -> Column:
+    shown = label
+    if config.hash_values:
+        shown = F.concat_ws(":", label, pseudonym_native(value, config.hash_salt) if inner else pseudonym_column(value, config.hash_salt))
+    before, mark, after = config.redaction.partition("{type}")
+    if not mark:
+        return F.lit(config.redaction)
+    return F.replace(F.lit(config.redaction), F.lit("{type}"), shown) if "{type}" in after else F.concat(F.lit(before), shown, F.lit(after))
+
+
+def pseudonym_native(value: Column, salt: str) -> Column:
+    """The pseudonym as an expression, for places where no Python function can stand (inside
+    arrays and maps): FNV-1a on two 32-bit halves, as a product of 64 bits would overflow."""
+    low32 = F.lit(0xFFFFFFFF).cast("long")
+    raw = F.concat(F.lit(salt.encode() + b"\0"), F.encode(value, "UTF-8"))
+    byte = lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long")
+
+    def step(h: Column, i: Column) -> Column:
+        low = h["lo"].bitwiseXOR(byte(i))
+        p = low * 435
+        hi = (h["hi"] * 435 + F.shiftright(p, 32) + F.shiftleft(low, 8)).bitwiseAND(low32)
+        return F.struct(hi.alias("hi"), p.bitwiseAND(low32).alias("lo"))
+
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+    return F.aggregate(F.sequence(F.lit(1), F.octet_length(raw)), start, step, lambda h: F.lower(F.lpad(F.hex(h["hi"].bitwiseXOR(h["lo"])), 8, "0")))
+
+
+def json_udf(config: Config, forced: dict[str, str], key: str | None):
+    """Redacts JSON text; text that is not JSON gives null. A failure gives an error object, never the text."""
+
+    @F.pandas_udf(_JSON)
+    def run(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s in values:
+            try:
+                parse(s)
+            except (ValueError, RecursionError, TypeError):
+                rows.append((None, None, None))
+                continue
+            try:
+                w = Walker(config, forced)
+                rows.append((w.text(s, key), sorted(w.summary.counts.elements()), w.summary.warnings))
+            except Exception:  # noqa: BLE001  fail closed
+                rows.append(('{"error":"redaction failed"}', [], []))
+        return pd.DataFrame(rows, columns=["text", "labels", "warnings"])
+
+    return run
+
+
+@dataclass
+class _Cell:
+    value: Column
+    labels: Column  # of what was redacted in it
+    warnings: Column
+
+
+def _string(col: Column, name: str, config: Config, forced: dict[str, str], label: Column | None, inner: bool, json: Column | None = None) -> _Cell:
+    kept = cascade.is_placeholder(col, config.redaction)
+    none, quiet = F.array().cast(_LABELS), F.array().cast(_WARNINGS)
+    found = cascade.detect(col, config)["label"]
+    weak = cascade.doubt(col, config)
+    if label is not None:
+        found = F.when(~kept, F.coalesce(label, found)) if inner and label is not None else F.when(~kept, label)
+    found = F.when(col.isNotNull(), found)
+    value = F.when(found.isNull(), col).otherwise(_placeholder(found, col, config, inner))
+    labels = F.when(found.isNull(), none).otherwise(F.array(found))
+    warned = F.array(F.struct(F.lit(name).alias("column"), weak["pattern"].alias("pattern"), weak["score"].alias("score")))
+    warnings = F.when(found.isNull() & weak.isNotNull(), warned).otherwise(quiet)
+    if label is not None and not inner:
+        warnings = quiet
+    if json is not None:
+        is_json = json["text"].isNotNull() & ~F.coalesce(kept, F.lit(False))
+        value = F.when(is_json, json["text"]).otherwise(value)
+        labels = F.when(is_json, json["labels"]).otherwise(labels)
+        inside = F.transform(json["warnings"], lambda w: F.struct(F.lit(name).alias("column"), w.alias("pattern"), F.lit(None).cast("double").alias("score")))
+        warnings = F.when(is_json, inside).otherwise(warnings)
+    return _Cell(value, labels, warnings)
+
+
+def _cell(col: Column, name: str, kind: T.DataType, config: Config, forced: dict[str, str], inner: bool = False, json: bool = False, label: Column | None = None) -> _Cell:
+    none, quiet = F.array().cast(_LABELS), F.array().cast(_WARNINGS)
+    go = lambda c, n, k, **more: _cell(c, n, k, config, forced, **more)
+    if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
+        own = label
+        if own is None and (found := named(name, config, forced)) is not None:
+            own = F.lit(found)
+        walked = None
+        if json and own is None and not inner:
+            walked = json_udf(config, forced, name)(F.when(cascade.looks_json(col), col))
+        return _string(col, name, config, forced, own, inner, walked)
+    if isinstance(kind, T.StructType):
+        parts = {f.name: go(col[f.name], f.name, f.dataType, inner=inner, json=json) for f in kind.fields}
+        if not parts:
+            return _Cell(col, none, quiet)
+        built = F.struct(*[p.value.alias(n) for n, p in parts.items()])
+        return _Cell(F.when(col.isNotNull(), built), F.concat(*[p.labels for p in parts.values()]), F.concat(*[p.warnings for p in parts.values()]))
+    if isinstance(kind, T.ArrayType):
+        element = lambda pick: F.transform(col, lambda x: pick(go(x, name, kind.elementType, inner=True, label=label)))
+        empty = lambda c, t: F.coalesce(F.flatten(c), F.array().cast(t))
+        return _Cell(element(lambda c: c.value), empty(element(lambda c: c.labels), _LABELS), empty(element(lambda c: c.warnings), _WARNINGS))
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        own = lambda k: _named_column(k, config, forced)
+        pick = lambda part: F.transform(F.map_entries(col), lambda e: part(go(e["value"], name, kind.valueType, inner=True, label=own(e["key"]))))
+        value = F.transform_values(col, lambda k, v: go(v, name, kind.valueType, inner=True, label=own(k)).value)
+        empty = lambda c, t: F.coalesce(F.flatten(c), F.array().cast(t))
+        return _Cell(value, empty(pick(lambda c: c.labels), _LABELS), empty(pick(lambda c: c.warnings), _WARNINGS))
+    return _Cell(col, none, quiet)
+
+
+@dataclass
+class Redaction:
+    """The redacted rows, and what was done, as DataFrames."""
+
+    data: DataFrame
+    marked: DataFrame  # __labels and __warnings of each row
+    warnings_of_plan: list[str]
+
+    def counts(self) -> DataFrame:
+        """``label, count``."""
+        return self.marked.select(F.explode("__labels").alias("label")).groupBy("label").count()
+
+    def warnings(self) -> DataFrame:
+        """``column, pattern, score, count``: cells that look suspicious, aggregated."""
+        return self.marked.select(F.explode("__warnings").alias("w")).groupBy("w.column", "w.pattern", "w.score").count()
+
+    def summary(self) -> DataFrame:
+        """One row: ``redacted, types, type_counts``."""
+        agg = self.counts().agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("redacted"), F.sort_array(F.collect_list("label")).alias("types"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "count")))).alias("type_counts"))
+        return agg
+
+
+def redact(df: DataFrame, config: Config | None = None, forced: dict[str, str] | None = None, warnings: list[str] | None = None, json_columns: set[str] | None = None) -> Redaction:
+    """``df`` with sensitive strings replaced, types and column order unchanged.
+
+    ``json_columns`` limits the search for JSON text to these columns (None: every string
+    column outside arrays and maps; an empty set: none, and no Python worker).
+    """
+    config = config or Config()
+    forced = {k.lower(): v for k, v in (forced or {}).items()}
+    if not config.enabled:
+        empty = df.select(F.array().cast(_LABELS).alias("__labels"), F.array().cast(_WARNINGS).alias("__warnings"))
+        return Redaction(df, empty, [])
+    cells = {f.name: _cell(df[f"`{f.name}`"], f.name, f.dataType, config, forced, json=json_columns is None or f.name in json_columns) for f in df.schema.fields}
+    data = df.select(*[c.value.alias(n) for n, c in cells.items()])
+    none, quiet = F.array().cast(_LABELS), F.array().cast(_WARNINGS)
+    marked = df.select(F.concat(none, *[c.labels for c in cells.values()]).alias("__labels"), F.concat(quiet, *[c.warnings for c in cells.values()]).alias("__warnings"))
+    return Redaction(data, marked, warnings or [])
+
+
+def redact_payloads(df: DataFrame, column: str, config: Config | None = None, forced: dict[str, str] | None = None, warnings: list[str] | None = None, out: str = "redacted") -> DataFrame:
+    """``df`` with ``out``: a struct of the redacted JSON payload (other text passes unchanged),
+    ``total`` and ``type_counts``. A failure gives an error object, never the payload."""
+    config = config or Config()
+    plan_warnings = warnings or []
+
+    @F.pandas_udf("value string, total long, type_counts map<string,long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for values in batches:
+            rows = []
+            for s in values:
+                try:
+                    tree = parse(s.strip()) if s is not None and config.enabled else None
+                except (ValueError, RecursionError):
+                    tree = None
+                if tree is None:
+                    rows.append((s, 0, {}))
+                    continue
+                try:
+                    w = Walker(config, forced, plan_warnings)
+                    rows.append((dump(w.payload(tree)), w.summary.redacted, dict(w.summary.counts)))
+                except Exception:  # noqa: BLE001  fail closed
+                    rows.append(('{"error":"redaction failed"}', 0, {}))
+            yield pd.DataFrame(rows, columns=["value", "total", "type_counts"])
+
+    return df.withColumn(out, run(F.col(column)))
