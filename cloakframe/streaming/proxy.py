@@ -65,18 +65,16 @@ def protect(line: str, config: Config) -> tuple[str, int, dict]:
         return _error(ident, "redaction failed"), 0, {}
 
 
-@F.pandas_udf("kind string, id string")
-def _look(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([look(v) for v in values], columns=["kind", "id"])
-
-
 def _keyed(messages: DataFrame) -> DataFrame:
-    """Messages that concern a call, with ``session`` and typed ``id``; and all others unkeyed."""
-    return messages.withColumn("m", _look("value")).select("session", "seq", "value", "m.kind", "m.id")
+    """``session, seq, value, kind, id``; a message that concerns no call has an id of its own, so
+    such messages spread evenly."""
 
+    @F.pandas_udf("kind string, id string")
+    def run(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([look(v) for v in values], columns=["kind", "id"])
 
-def _session(name: str):
-    return F.coalesce(F.col(name), F.lit(""))
+    own = F.when(F.col("m.kind") == "other", F.concat(F.lit("-"), F.col("seq").cast("string"))).otherwise(F.col("m.id"))
+    return messages.withColumn("m", run("value")).select(F.coalesce("session", F.lit("")).alias("session"), "seq", "value", "m.kind", own.alias("id"))
 
 
 def proxy_batch(messages: DataFrame, config: Config | None = None) -> DataFrame:
@@ -94,7 +92,7 @@ def proxy_batch(messages: DataFrame, config: Config | None = None) -> DataFrame:
         return pd.DataFrame(rows, columns=["value", "kind", "total", "type_counts"])
 
     order = Window.partitionBy("session", "id").orderBy("seq")
-    known = _keyed(messages).withColumn("before", F.when((F.col("kind") != "other"), F.lag("kind").over(order)))
+    known = _keyed(messages).withColumn("before", F.lag("kind").over(order))
     tracked = (F.col("kind") == "response") & F.coalesce(F.col("before") == "request", F.lit(False))
     done = known.withColumn("tracked", tracked).withColumn("r", run(F.when(F.col("tracked"), F.col("value"))))
     pick = lambda c, other: F.when(F.col("tracked"), F.col(f"r.{c}")).otherwise(other).alias(c)
@@ -128,8 +126,7 @@ def _processor(config: Config, ttl_ms: int) -> StatefulProcessor:
 
 def proxy_stream(messages: DataFrame, config: Config | None = None, ttl_ms: int = 3_600_000) -> DataFrame:
     """A streaming DataFrame (``session, seq, value``) -> ``OUT``; needs the RocksDB state store."""
-    keyed = _keyed(messages).withColumn("session", _session("session")).withColumn("id", F.coalesce("id", F.concat(F.lit("-"), F.col("seq").cast("string"))))
-    return keyed.groupBy("session", "id").transformWithStateInPandas(_processor(config or Config(), ttl_ms), OUT, "Append", "ProcessingTime")
+    return _keyed(messages).groupBy("session", "id").transformWithStateInPandas(_processor(config or Config(), ttl_ms), OUT, "Append", "ProcessingTime")
 
 
 def server_label(arguments: list[str]) -> str:
