@@ -8,8 +8,8 @@ kept in a table. The result equals that of applying the merges by rank, in linea
 Decoding: one gather through a table of token bytes and offsets.
 
 Scale: a map over rows, no shuffle. The vocabulary (fixed size, about 1 MB) is broadcast,
-never read on executors. Frequent pieces are kept in a dictionary of at most
-``KEEP_PIECES`` entries, texts are handled in slices of about 4 MB.
+never read on executors. Recent pieces are kept in two generations of at most
+``KEEP_PIECES`` entries each, texts are handled in slices of about 2 MB.
 
 Defined results: a null text counts as empty and gives no ids. Other columns pass through;
 a column named as the output is replaced. Invalid UTF-8 from arbitrary ids is decoded with
@@ -32,8 +32,9 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from ._common import binary_array, by_size
 
-KEEP_PIECES = 300_000
-LONG_PIECE = 48
+KEEP_PIECES = 80_000
+KEEP_PAIRS = 150_000
+LONG_PIECE = 32
 #: The pre-token pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -45,17 +46,24 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+_CHARS = _byte_chars()
+
+
+def _raw(token: str) -> bytes:
+    """The bytes that a token of the file stands for."""
+    return bytes(_CHARS[c] for c in token) if all(c in _CHARS for c in token) else token.encode()
+
+
 class Vocabulary:
     """Tables made from the content of a vocabulary file."""
 
     def __init__(self, content: bytes):
         spec = json.loads(content)
-        model, char = spec["model"], _byte_chars()
+        model, char = spec["model"], _CHARS
         if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")) or spec.get("normalizer"):
             raise ValueError("only plain byte-level BPE vocabularies are supported")
         if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens with matching options are not supported")
-        raw = lambda t: bytes(char[c] for c in t) if all(c in char for c in t) else t.encode()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         # a token's place: single bytes first, then merges by rank
@@ -64,17 +72,12 @@ class Vocabulary:
             raise ValueError("a token has several merges")
         place = {t: k for k, t in enumerate(names)}
         self.ids = np.array([model["vocab"][t] for t in names], np.uint32)
-        self.tokens = [raw(t) for t in names]
+        self.tokens = [_raw(t) for t in names]
         self.length = [len(t) for t in self.tokens]
         self.parts = [(k, k) for k in range(256)] + [(place[a], place[b]) for a, b in pairs]
         self.merged = {(a, b): 256 + k for k, (a, b) in enumerate(self.parts[256:])}
         known = {t: k for k, t in enumerate(self.tokens)}
         self.shorter = [next((known[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in known), -1) for t in self.tokens]
-        texts = {int(i): t for i, t in zip(self.ids, self.tokens, strict=True)} | {i: raw(t) for t, i in self.special.items()}
-        size = max(texts) + 2
-        lengths = np.array([len(texts.get(i, b"")) for i in range(size)], np.int64)
-        self.text = np.frombuffer(b"".join(texts.get(i, b"") for i in range(size)), np.uint8)
-        self.offset = np.concatenate([[0], np.cumsum(lengths)])
         self.compatible: dict[tuple[int, int], bool] = {}
 
     @cached_property
@@ -104,7 +107,7 @@ class Vocabulary:
     def fits(self, left: int, right: int) -> bool:
         known = self.compatible.get((left, right))
         if known is None:
-            if len(self.compatible) >= 500_000:
+            if len(self.compatible) >= KEEP_PAIRS:
                 self.compatible.clear()
             known = self.compatible[left, right] = self._fits(left, right)
         return known
@@ -136,6 +139,18 @@ class Vocabulary:
                 break
         return out
 
+
+class Decoder:
+    """The bytes of all tokens, one after the other, and where each id's begin."""
+
+    def __init__(self, content: bytes):
+        spec = json.loads(content)
+        texts = {i: _raw(t) for t, i in spec["model"]["vocab"].items()} | {t["id"]: _raw(t["content"]) for t in spec["added_tokens"]}
+        size = max(texts) + 2
+        lengths = np.array([len(texts.get(i, b"")) for i in range(size)], np.int64)
+        self.text = np.frombuffer(b"".join(texts.get(i, b"") for i in range(size)), np.uint8)
+        self.offset = np.concatenate([[0], np.cumsum(lengths)])
+
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and byte offsets of many id lists, one after the other; ``first``: where each begins."""
         ids = np.minimum(ids.astype(np.int64), len(self.offset) - 2)
@@ -151,19 +166,22 @@ class Vocabulary:
 
 
 class Encoder(dict):
-    """Maps a piece to the bytes of its ids, little-endian unsigned 32-bit; frequent pieces stay."""
+    """Maps a piece to the bytes of its ids, little-endian unsigned 32-bit; recent pieces stay."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
         self.pieces = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
 
     def __missing__(self, piece: str) -> bytes:
         v = self.vocabulary
-        found = v.ids[v.encode_piece(piece.encode())].astype("<u4").tobytes()
+        found = self.older.get(piece)
+        if found is None:
+            found = v.ids[v.encode_piece(piece.encode())].astype("<u4").tobytes()
         if len(piece) <= LONG_PIECE:
             if len(self) >= KEEP_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = found
         return found
@@ -180,19 +198,23 @@ class Encoder(dict):
         return b"".join(out)
 
 
-_held: dict[int, Encoder] = {}
+_held: dict[tuple, object] = {}
 
 
-def _encoder(broadcast) -> Encoder:
-    """One for each worker process, which serves many tasks."""
+def _keep(broadcast, make):
+    """What ``make`` builds of the vocabulary; one for each worker process, which serves many tasks."""
     content = broadcast.value
-    key = hash(content)
+    key = (make, hash(content))
     if key not in _held:
         _held.clear()
-        _held[key] = Encoder(Vocabulary(content))
+        _held[key] = make(content)
     return _held[key]
 
 
+def _new_encoder(content: bytes) -> Encoder:
+    return Encoder(Vocabulary(content))
+
+
 def _content(spark: SparkSession, path: str):
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
@@ -207,8 +229,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     broadcast, keep = _content(df.sparkSession, path), [c for c in df.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(broadcast)
-        for b in by_size(batches, text):
+        encoder = _keep(broadcast, _new_encoder)
+        for b in by_size(batches, text, 2 << 20):
             ids = pa.array([encoder.encode(t) if t else b"" for t in b.column(text).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], [*keep, out])
 
@@ -220,13 +242,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     broadcast, keep = _content(df.sparkSession, path), [c for c in df.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _encoder(broadcast).vocabulary
-        for b in by_size(batches, ids):
+        decoder = _keep(broadcast, Decoder)
+        for b in by_size(batches, ids, 2 << 20):
             col = b.column(ids)
             col = col.fill_null(b"") if col.null_count else col
             lengths = np.array([len(x) for x in col.to_pylist()], np.int64) // 4
             flat = np.frombuffer(b"".join(col.to_pylist()), "<u4")
-            data, offsets = v.decode(flat, np.concatenate([[0], np.cumsum(lengths)]))
+            data, offsets = decoder.decode(flat, np.concatenate([[0], np.cumsum(lengths)]))
             raw = binary_array(data, offsets)
             try:
                 texts = raw.cast(pa.string())

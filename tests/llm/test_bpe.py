@@ -21,6 +21,12 @@ def encoder():
         return bpe.Encoder(bpe.Vocabulary(f.read()))
 
 
+@pytest.fixture(scope="module")
+def decoder():
+    with open(PATH, "rb") as f:
+        return bpe.Decoder(f.read())
+
+
 def odd_texts(n=400):
     rng = random.Random(7)
     pools = ["abcdefghij  ", "aaaa", "the and ing tion ", "éàüß ñ ç ", "\n\t \r\x0b\x1c\x85  ", "日本語テキスト", "🙂👍🏽", "0123456789.,'$", "'s't're've'm'll'd ", "<|endoftext|>", "́‍­", "".join(map(chr, range(1, 300)))]
@@ -28,12 +34,12 @@ def odd_texts(n=400):
         yield "".join(rng.choice(rng.choice(pools)) if rng.random() < 0.9 else rng.choice(pools) for _ in range(rng.randrange(0, 60)))
 
 
-def test_ids_equal_the_librarys(encoder, library):
+def test_ids_equal_the_librarys(encoder, decoder, library):
     texts = [*odd_texts(), "", " ", "a" * 5000, "ab" * 3000, "x <|endoftext|> y<|endoftext|><|endoftext|>", "<|endoftext", " " * 50]
     for t in texts:
         want = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == want, t
-        data, _ = encoder.vocabulary.decode(np.array(want, np.uint32), np.array([0, len(want)]))
+        data, _ = decoder.decode(np.array(want, np.uint32), np.array([0, len(want)]))
         assert bytes(data).decode() == library.decode(want, skip_special_tokens=False)
 
 
@@ -44,6 +50,13 @@ def test_every_token_and_random_letters(encoder, library):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_small_cache(encoder, library, monkeypatch):
+    monkeypatch.setattr(bpe, "KEEP_PIECES", 3)
+    monkeypatch.setattr(bpe, "KEEP_PAIRS", 3)
+    for t in odd_texts(100):
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_query(spark, sf_dir, library):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = bpe.op2_bpe(spark, sf_dir).collect()
