@@ -215,6 +215,10 @@ def _new_encoder(content: bytes) -> Encoder:
     return Encoder(Vocabulary(content))
 
 
+def _new_both(content: bytes) -> tuple[Encoder, Decoder]:
+    return _new_encoder(content), Decoder(content)
+
+
 def _content(spark: SparkSession, path: str):
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
@@ -246,19 +250,34 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         for b in by_size(batches, ids, 2 << 20):
             col = b.column(ids)
             col = col.fill_null(b"") if col.null_count else col
-            lengths = np.array([len(x) for x in col.to_pylist()], np.int64) // 4
-            flat = np.frombuffer(b"".join(col.to_pylist()), "<u4")
-            data, offsets = decoder.decode(flat, np.concatenate([[0], np.cumsum(lengths)]))
-            raw = binary_array(data, offsets)
-            try:
-                texts = raw.cast(pa.string())
-            except pa.ArrowInvalid:
-                texts = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+            texts = _texts(decoder, col.to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), texts], [*keep, out])
 
     return df.mapInArrow(run, _with(df, out, StringType()))
 
 
+def encode_and_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one Python worker a task: half the memory of two."""
+    broadcast, keep = _content(df.sparkSession, path), [c for c in df.columns if c not in (ids, decoded)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _keep(broadcast, _new_both)
+        for b in by_size(batches, text, 1 << 20):
+            found = [encoder.encode(t) if t else b"" for t in b.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(found, pa.binary()), _texts(decoder, found)], [*keep, ids, decoded])
+
+    return df.mapInArrow(run, _with(_with(df, ids, BinaryType()), decoded, StringType()))
+
+
+def _texts(decoder: Decoder, ids: list[bytes]) -> pa.Array:
+    lengths = np.array([len(x) for x in ids], np.int64) // 4
+    raw = binary_array(*decoder.decode(np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(lengths)])))
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -268,8 +287,7 @@ def default_vocabulary() -> str:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = default_vocabulary()
-    ids = encode(docs, path).select("doc_id", "ids")
-    return decode(ids, path).select(
+    return encode_and_decode(docs, path).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -47,7 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit), their number, and whether decoding gives the text back."""
     ship(spark)
     path = bpe.default_vocabulary()
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    both = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return both.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
