@@ -8,7 +8,7 @@ from pathlib import Path
 
 __version__ = "0.1.0"
 
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
