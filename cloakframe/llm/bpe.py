@@ -224,8 +224,8 @@ def _content(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _with(df: DataFrame, name: str, kind) -> StructType:
-    return StructType([f for f in df.schema.fields if f.name != name] + [StructField(name, kind)])
+def _with(schema: StructType, name: str, kind) -> StructType:
+    return StructType([f for f in schema.fields if f.name != name] + [StructField(name, kind)])
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -238,7 +238,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
             ids = pa.array([encoder.encode(t) if t else b"" for t in b.column(text).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], [*keep, out])
 
-    return df.mapInArrow(run, _with(df, out, BinaryType()))
+    return df.mapInArrow(run, _with(df.schema, out, BinaryType()))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -253,7 +253,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             texts = _texts(decoder, col.to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), texts], [*keep, out])
 
-    return df.mapInArrow(run, _with(df, out, StringType()))
+    return df.mapInArrow(run, _with(df.schema, out, StringType()))
 
 
 def encode_and_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -266,7 +266,7 @@ def encode_and_decode(df: DataFrame, path: str, text: str = "text", ids: str = "
             found = [encoder.encode(t) if t else b"" for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(found, pa.binary()), _texts(decoder, found)], [*keep, ids, decoded])
 
-    return df.mapInArrow(run, _with(_with(df, ids, BinaryType()), decoded, StringType()))
+    return df.mapInArrow(run, _with(_with(df.schema, ids, BinaryType()), decoded, StringType()))
 
 
 def _texts(decoder: Decoder, ids: list[bytes]) -> pa.Array:
