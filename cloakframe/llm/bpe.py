@@ -32,8 +32,8 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from ._common import binary_array, by_size
 
-KEEP_PIECES = 80_000
-KEEP_PAIRS = 150_000
+KEEP_PIECES = 130_000
+KEEP_PAIRS = 300_000
 LONG_PIECE = 32
 #: The pre-token pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
