@@ -45,6 +45,7 @@ BUCKETS = 1 << 15
 FREQUENT = 300_000
 UPDATES = 40
 FEATURES = 7
+GRADIENT_TASKS = 3  # the context counts are bounded; more tasks send the shared features more often
 PRIOR = 10.0  # of a weight's Gaussian prior: the inverse variance
 _FIRST_SPELLED = 1 + TOP_WORDS
 _COMPACT = 1 << 20
@@ -250,7 +251,7 @@ def fit(train: DataFrame, updates: int = UPDATES) -> tuple[Model, DataFrame]:
     norm[:_FIRST_SPELLED] = 0.0
     model = Model(np.array([r.h for r in top], np.int64).view(np.uint64), np.zeros((BUCKETS, CLASSES), np.float32), norm, sum(t for t, _ in by_kind.values()) + texts, sum(v for _, v in by_kind.values()) + (texts > 0), texts, h[order], n[order])
     contexts_by_block = train.select("text").mapInArrow(_count_contexts(model.top), "block int, keys binary, counts binary")
-    table = work_table(contexts_by_block.repartitionById(CLASSES, "block").mapInArrow(_sum_contexts, "block int, keys binary, counts binary"), "contexts").repartitionById(8, F.col("block") % 8)
+    table = work_table(contexts_by_block.repartitionById(CLASSES, "block").mapInArrow(_sum_contexts, "block int, keys binary, counts binary"), "contexts").repartitionById(GRADIENT_TASKS, F.col("block") % GRADIENT_TASKS)
     table = work_table(table, "contexts8")
     # accelerated gradient ascent: half the number of features bounds the curvature of each
     # weight by the tokens that have it, so every step is safe; it restarts when gain is lost
