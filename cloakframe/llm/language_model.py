@@ -189,7 +189,7 @@ def _gradient(weights):
                     np.add.at(grad, f, seen - total * p)
                     np.add.at(weight, f, total[:, 0])
         rows = np.flatnonzero(weight)
-        yield pa.RecordBatch.from_arrays([pa.array([gain]), pa.array([rows.astype("<i4").tobytes()]), pa.array([grad[rows].astype("<f4").tobytes()]), pa.array([weight[rows].tobytes()])], ["gain", "rows", "grad", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array([gain]), pa.array([rows.astype("<i4").tobytes()]), pa.array([(grad[rows] / weight[rows, None]).astype("<f2").tobytes()]), pa.array([weight[rows].tobytes()])], ["gain", "rows", "grad", "weight"])
 
     return run
 
@@ -263,8 +263,9 @@ def fit(train: DataFrame, updates: int = UPDATES) -> tuple[Model, DataFrame]:
         grad, weight, gain = np.zeros_like(weights), np.zeros(BUCKETS), 0.0
         for r in table.mapInArrow(_gradient(held), "gain double, rows binary, grad binary, weight binary").toArrow().to_pylist():  # one a partition, each at most as large as the weights
             rows = np.frombuffer(r["rows"], "<i4")
-            grad[rows] += np.frombuffer(r["grad"], "<f4").reshape(-1, CLASSES)
-            weight[rows] += np.frombuffer(r["weight"])
+            own = np.frombuffer(r["weight"])
+            grad[rows] += np.frombuffer(r["grad"], "<f2").reshape(-1, CLASSES) * own[:, None]  # sent by token, in half precision
+            weight[rows] += own
             gain += r["gain"]
         held.destroy()
         t = t + 1 if gain >= best else 1.0
