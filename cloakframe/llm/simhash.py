@@ -16,6 +16,10 @@ into chunks by hash and each pair of chunks is a task of its own, so no task get
 a bounded number of rows and no link is lost. The list of such values is bounded by the
 number of partitions. Components are found by distributed star contraction.
 
+Near-duplicate removal (``near_dedup``) joins the same tries on several fingerprints of short
+shingles and lets leaves link only if signatures of five-word shingles agree as those of texts
+with a similarity of 0.8 or more do. Rows then carry the signature: 57 bytes.
+
 Defined results: a text without words (null, empty, blanks) has fingerprint zero and links
 like any other; with fewer words than a shingle the whole sequence is the only shingle. A
 row with a null doc_id takes part; the smallest doc_id ignores nulls. Repeated rows share
@@ -41,30 +45,43 @@ SEED = 42
 BITS = 64
 
 
-def fingerprints(texts: list[bytes], shingle: int, seeds: tuple[int, ...] = (SEED,)) -> np.ndarray:
-    """A 64-bit fingerprint of each text for each seed (texts x seeds)."""
-    digests, counts = [[] for _ in seeds], np.zeros(len(texts), np.int64)
+def shingle_hashes(texts: list[bytes], shingle: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, one after the other, and how many each text has."""
+    digests, counts = [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
         words = text.lower().split()  # of bytes: A-Z only, and exactly space and 0x09-0x0D
         if not words:
             continue
         runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-        runs = runs if len(seeds) == 1 else list(runs)
-        for seed, own in zip(seeds, digests, strict=True):
-            own.append(b"".join(map(xxhash.xxh64_digest, runs, repeat(seed))))
-        counts[k] = len(digests[0][-1]) // 8
-    out = np.zeros((len(texts), len(seeds)), np.uint64)
-    has = counts > 0
-    if not has.any():
-        return out
-    n = counts[has]
-    for s, own in enumerate(digests):
-        bits = np.unpackbits(np.frombuffer(b"".join(own), np.uint8).reshape(-1, 8), axis=1)
+        digests.append(b"".join(map(xxhash.xxh64_digest, runs, repeat(seed))))
+        counts[k] = len(digests[-1]) // 8
+    return np.frombuffer(b"".join(digests), ">u8"), counts
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text from its shingles' hashes."""
+    out, has = np.zeros(len(counts), np.uint64), counts > 0
+    if has.any():
+        n = counts[has]
+        bits = np.unpackbits(np.ascontiguousarray(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
         sums = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-        out[has, s] = np.packbits(2 * sums > n[:, None], axis=1).view(">u8").reshape(-1)
+        out[has] = np.packbits(2 * sums > n[:, None], axis=1).view(">u8").reshape(-1)
     return out
 
 
+def fingerprints(texts: list[bytes], shingle: int, seeds: tuple[int, ...] = (SEED,)) -> np.ndarray:
+    """A 64-bit fingerprint of each text for each seed (texts x seeds)."""
+    return np.stack([majority(*shingle_hashes(texts, shingle, seed)) for seed in seeds], axis=1)
+
+
+def mixed_fingerprints(texts: list[bytes], shingle: int, copies: int) -> np.ndarray:
+    """``copies`` fingerprints of each text (texts x copies): the shingles are hashed once and
+    every further copy mixes those hashes anew."""
+    hashes, counts = shingle_hashes(texts, shingle)
+    hashes = hashes.astype(np.uint64)
+    return np.stack([majority(mix(hashes + np.uint64(k)) if k else hashes, counts) for k in range(copies)], axis=1)
+
+
 def fingerprint(docs: DataFrame, shingle: int, seeds: tuple[int, ...] = (SEED,), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``key`` (hash of doc_id and text) and for each seed ``fp0, fp1, ...`` (the bits as a long)."""
     names = [f"fp{k}" for k in range(len(seeds))]
@@ -117,9 +134,13 @@ class Forest:
         return (c[lo1] == c[hi1 - 1]) & (c[lo2] == c[hi2 - 1]) & (self.label[lo1] == self.label[lo2])
 
 
-def trie_links(keys: np.ndarray, agree: int, budget: int, at_once: int = 1 << 16) -> np.ndarray:
-    """Labels (index of the smallest key of the component) of sorted distinct 64-bit keys that
-    link if their first ``agree`` bits are equal and at most ``budget`` of the others differ."""
+def trie_links(keys: np.ndarray, agree: int, budget: int, at_once: int = 1 << 16, signatures: np.ndarray | None = None, most: int = 0) -> np.ndarray:
+    """Labels (index of the smallest key of the component) of sorted 64-bit keys that link if
+    their first ``agree`` bits are equal and at most ``budget`` of the others differ.
+
+    Without ``signatures`` keys are distinct. With them (keys x words) a link also needs at
+    most ``most`` differing bits between the two signatures, and keys may repeat: below the
+    last bit, runs of equal keys are halved like further levels of the trie."""
     n = len(keys)
     forest = Forest(n)
     if n < 2:
@@ -141,19 +162,24 @@ def trie_links(keys: np.ndarray, agree: int, budget: int, at_once: int = 1 << 16
         if single.any():
             i, j = lo1[single], lo2[single]
             near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
+            if signatures is not None:
+                near &= np.bitwise_count(signatures[i] ^ signatures[j]).sum(axis=1) <= most
             forest.link(i[near], j[near])
             lo1, hi1, lo2, hi2, err = (x[~single] for x in (lo1, hi1, lo2, hi2, err))
-        if not len(lo1) or depth == BITS:
+        if not len(lo1):
             continue
-        bit = np.uint64(BITS - 1 - depth)
+        below = depth >= BITS  # only equal keys are left in a node
+        bit = np.uint64(0 if below else BITS - 1 - depth)
 
         def middle(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
             """Where the keys with the next bit set begin."""
+            if below:
+                return (lo + hi) // 2
             return np.clip(np.searchsorted(keys, ((keys[lo] >> bit) | np.uint64(1)) << bit), lo, hi)
 
         m1, m2 = middle(lo1, hi1), middle(lo2, hi2)
-        same = lo1 == lo2
-        pairs = [(lo1, m1, lo2, m2, err, None), (m1, hi1, m2, hi2, err, None), (lo1, m1, m2, hi2, err + 1, None), (m1, hi1, lo2, m2, err + 1, ~same)]
+        same, more = lo1 == lo2, err if below else err + 1
+        pairs = [(lo1, m1, lo2, m2, err, None), (m1, hi1, m2, hi2, err, None), (lo1, m1, m2, hi2, more, None), (m1, hi1, lo2, m2, more, ~same)]
         parts = []
         for a, b, c, d, e, only in pairs:
             ok = (b > a) & (d > c) & (e <= budget) & ~((a == c) & (b - a == 1))
@@ -179,67 +205,87 @@ def _blocks(budget: int) -> list[tuple[int, int]]:
 
 
 def _routes(budget: int, hot: dict[tuple[int, int], int]):
-    """Each fingerprint under each of its blocks; rows of a hot block value go to every pair of chunks they are in."""
+    """Each row (a fingerprint, then what goes with it) under each block of the fingerprint;
+    rows of a hot block value go to every pair of chunks they are in."""
     blocks = _blocks(budget)
     by_block = [{v: k for (b, v), k in hot.items() if b == n} for n in range(len(blocks))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            fp, *rest = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
+            names = ["route", "block", "key", *batch.schema.names[1:]]
+            place = mix(rest[0] ^ fp) if rest else fp  # equal fingerprints of different rows are dealt too
             for n, (at, width) in enumerate(blocks):
                 key = _rotate(fp, at)
                 value = key >> np.uint64(BITS - width)
                 route = mix(value * np.uint64(len(blocks)) + np.uint64(n))
                 many = np.array(sorted(by_block[n]), np.uint64)
                 in_hot = np.isin(value, many) if len(many) else np.zeros(len(value), bool)
-                parts = [(route[~in_hot], key[~in_hot])]
+                parts = [(route[~in_hot], np.flatnonzero(~in_hot))]
                 for v, k in by_block[n].items():
-                    own = key[value == np.uint64(v)]
+                    own = np.flatnonzero(value == np.uint64(v))
                     if len(own):
-                        chunk = mix(own) % np.uint64(k)
+                        chunk = mix(_rotate(place[own], at)) % np.uint64(k)
                         first = mix(np.array([v * len(blocks) + n], np.uint64))[0]
                         for j in range(k):
                             a, b = np.minimum(chunk, np.uint64(j)), np.maximum(chunk, np.uint64(j))
                             parts.append((mix(first + a * np.uint64(k) + b + np.uint64(1)), own))
-                r, k = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(r.view(np.int64)), pa.array(np.full(len(r), n, np.int8)), pa.array(k.view(np.int64))], ["route", "block", "key"])
+                r, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+                columns = [pa.array(x[row].view(np.int64)) for x in (key, *rest)]
+                yield pa.RecordBatch.from_arrays([pa.array(r.view(np.int64)), pa.array(np.full(len(r), n, np.int8)), *columns], names)
 
     return run
 
 
-def _join(budget: int):
+def _join(budget: int, most: int = 0):
+    """Edges between the fingerprints that reach a task; or, if each comes with a node and a
+    signature, between the nodes whose signatures are near too."""
     blocks = _blocks(budget)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in blocks]
         for batch in batches:
             block = batch.column(0).to_numpy(zero_copy_only=False)
-            key = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            rows = np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns[1:]], axis=1)
             for n in range(len(blocks)):
-                held[n].append(key[block == n])
+                held[n].append(rows[block == n])
         for n, (at, width) in enumerate(blocks):
             if not held[n]:
                 continue
-            keys = np.unique(np.concatenate(held[n]))
-            label = trie_links(keys, width, budget)
-            moved = np.flatnonzero(label != np.arange(len(keys)))
+            rows = np.concatenate(held[n])
+            held[n] = []
+            if rows.shape[1] == 1:
+                keys = np.unique(rows[:, 0])
+                names = _rotate(keys, BITS - at)
+                label = trie_links(keys, width, budget)
+            else:
+                rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+                new = np.ones(len(rows), bool)
+                new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+                rows = rows[new]
+                names = rows[:, 1]
+                label = trie_links(np.ascontiguousarray(rows[:, 0]), width, budget, signatures=rows[:, 2:], most=most)
+            moved = np.flatnonzero(label != np.arange(len(label)))
             if len(moved):
-                u, v = (_rotate(keys[x], BITS - at).view(np.int64) for x in (moved, label[moved]))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[x].view(np.int64)) for x in (moved, label[moved])], ["u", "v"])
 
     return run
 
 
-def links(distinct: DataFrame, count: int, budget: int) -> DataFrame:
-    """Edges (u, v) that connect the fingerprints ``fp`` of ``distinct`` as all links together do."""
+def links(distinct: DataFrame, count: int, budget: int, most: int = 0) -> DataFrame:
+    """Edges (u, v) that connect the fingerprints ``fp`` of ``distinct`` as all links together do.
+
+    If more columns of longs follow ``fp``, they are a node and its signature: edges are then
+    between nodes, and link only if at most ``most`` bits of the signatures differ as well."""
     spark = distinct.sparkSession
     n, blocks = partitions(spark), _blocks(budget)
     share = max(count * len(blocks) / n, 400)
     values = [F.struct(F.lit(k).alias("b"), F.shiftrightunsigned(F.when(F.lit(at) == 0, F.col("fp")).otherwise(F.shiftleft("fp", at)), BITS - width).alias("v")) for k, (at, width) in enumerate(blocks)]
     hot = distinct.select(F.explode(F.array(*values)).alias("x")).groupBy("x.b", "x.v").count().where(F.col("count") > 2.5 * share)
     chunks = {(r.b, r.v): int(np.ceil(r["count"] / (1.25 * share))) for r in hot.collect()}  # at most 0.4 n values
-    routed = distinct.select("fp").mapInArrow(_routes(budget, chunks), "route long, block tinyint, key long")
-    return routed.repartition(n, "route").select("block", "key").mapInArrow(_join(budget), "u long, v long")
+    rest = [c for c in distinct.columns if c != "fp"]
+    routed = distinct.select("fp", *rest).mapInArrow(_routes(budget, chunks), ", ".join(["route long, block tinyint, key long", *(f"{c} long" for c in rest)]))
+    return routed.repartition(n, "route").select("block", "key", *rest).mapInArrow(_join(budget, most), "u long, v long")
 
 
 def _edges(table: DataFrame, name: str, budget: int) -> DataFrame:
@@ -250,7 +296,7 @@ def _edges(table: DataFrame, name: str, budget: int) -> DataFrame:
     pairs = work_table(table.select("fp0", name).distinct(), "pairs")
     least = work_table(pairs.groupBy(F.col(name).alias("fp")).agg(F.min("fp0").alias("node")), "distinct")
     equal = pairs.join(least, fresh(pairs[name]) == fresh(least["fp"])).select(F.col("fp0").alias("u"), F.col("node").alias("v"))
-    found = links(least, least.count(), budget)
+    found = links(least.select("fp"), least.count(), budget)
     left, right = (least.select(F.col("fp").alias(f"{x}fp"), F.col("node").alias(f"{x}node")) for x in "uv")
     linked = found.join(left, found["u"] == left["ufp"]).join(right, found["v"] == right["vfp"]).select(F.col("unode").alias("u"), F.col("vnode").alias("v"))
     return equal.where("u <> v").unionByName(linked)
@@ -265,20 +311,60 @@ def components(docs: DataFrame, shingle: int = 5, budget: int = 3, seeds: tuple[
     every = edges[0]
     for more in edges[1:]:
         every = every.unionByName(more)
-    roots = work_table(stars(every), "roots")
-    least = table.groupBy("fp0").agg(F.min("doc_id").alias("least"))
-    root = F.coalesce("root", "fp0").alias("root")
-    info = work_table(least.join(roots, fresh(least["fp0"]) == fresh(roots["u"]), "left").select("fp0", root, "least"), "nodes")
+    return _labelled(table.withColumnRenamed("fp0", "node"), every).withColumnRenamed("node", "fp")
+
+
+def _labelled(table: DataFrame, edges: DataFrame) -> DataFrame:
+    """``doc_id, key, node, root, component_id`` of the rows of ``table`` (doc_id, key, node)."""
+    roots = work_table(stars(edges), "roots")
+    least = table.groupBy("node").agg(F.min("doc_id").alias("least"))
+    root = F.coalesce("root", "node").alias("root")
+    info = work_table(least.join(roots, fresh(least["node"]) == fresh(roots["u"]), "left").select("node", root, "least"), "nodes")
     member = roots.select(F.col("root").alias("r")).distinct()
     lowest = info.join(member, fresh(info["root"]) == fresh(member["r"]), "left_semi").groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component"))
-    named = info.join(lowest, fresh(info["root"]) == fresh(lowest["r"]), "left").select(F.col("fp0").alias("k"), "root", F.when(F.col("r").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
-    return table.join(named, fresh(table["fp0"]) == fresh(named["k"])).select("doc_id", "key", F.col("fp0").alias("fp"), "root", "component_id")
+    named = info.join(lowest, fresh(info["root"]) == fresh(lowest["r"]), "left").select(F.col("node").alias("k"), "root", F.when(F.col("r").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
+    return table.join(named, fresh(table["node"]) == fresh(named["k"])).select("doc_id", "key", "node", "root", "component_id")
+
+
+CANDIDATE = (2, 6, 4)  # words a shingle, fingerprints, differing bits of any one
+SIGNATURE = (5, 4, 47)  # words a shingle, fingerprints, differing bits of all: 18 % of 256
+
+
+def near_components(docs: DataFrame, candidate: tuple[int, int, int] = CANDIDATE, signature: tuple[int, int, int] = SIGNATURE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, key, node, root, component_id`` of every row, where rows link by similarity of 0.8 or more.
 
+    That similarity is read off a signature of several SimHash fingerprints of five-word
+    shingles: a Jaccard index of 0.8 makes 15 % of its bits differ, and the limit leaves
+    room for the estimate's deviation. At three bits of 64, such pairs would not meet; so the
+    tries are joined on fingerprints of two-word shingles, of which fewer are lost by
+    a changed word, and each pair of leaves must have near signatures to link."""
+    (short, copies, budget), (long, own, most) = candidate, signature
+    names, words = [f"c{k}" for k in range(copies)], [f"s{k}" for k in range(own)]
 
-def near_dedup(docs: DataFrame, shingle: int = 5, budget: int = 3, seeds: tuple[int, ...] = (SEED,), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id (rows
-    without come last, ties by hash). Rows that repeat doc_id and text are one document."""
-    rows = work_table(components(docs, shingle, budget, seeds, doc_id, text).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("row")), "members")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_size(batches, "_text", 1 << 20):
+            data, o = buffers(b.column("_text"))
+            raw = data.tobytes()
+            texts = [raw[s:e] for s, e in zip(o[:-1], o[1:], strict=True)]
+            both = np.concatenate([mixed_fingerprints(texts, short, copies), mixed_fingerprints(texts, long, own)], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_key"), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in both.T)], ["doc_id", "key", *names, *words])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), row_key(doc_id, text).alias("_key"))
+    found = rows.mapInArrow(run, ", ".join(["doc_id long", "key long", *(f"{n} long" for n in [*names, *words])]))
+    table = work_table(found.withColumn("node", F.xxhash64(*words)), "fingerprints")
+    every = None
+    for name in names:
+        distinct = work_table(table.select(F.col(name).alias("fp"), "node", *words).distinct(), "distinct")
+        edges = links(distinct, distinct.count(), budget, most)
+        every = edges if every is None else every.unionByName(edges)
+    return _labelled(table.select("doc_id", "key", "node"), every)
+
+
+def near_dedup(docs: DataFrame, candidate: tuple[int, int, int] = CANDIDATE, signature: tuple[int, int, int] = SIGNATURE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component of :func:`near_components`: the one with
+    the smallest doc_id (rows without come last, ties by hash). Rows that repeat doc_id and
+    text are one document."""
+    rows = work_table(near_components(docs, candidate, signature, doc_id, text).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("row")), "members")
     first = rows.groupBy(F.col("root").alias("r")).agg(F.min("row").alias("first"))
     gone = rows.join(first, fresh(rows["root"]) == fresh(first["r"])).where("row <> first").select(F.col("row.key").alias("__gone")).distinct()
     gone = small_enough(work_table(gone, "gone"), F.lit(8))
