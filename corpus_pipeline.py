@@ -14,8 +14,6 @@ from cloakframe.llm import bpe, exact_dedup, language_id, mixing, simhash
 from cloakframe.llm._common import work_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near copies link if any of these seeds' fingerprints differ in at most three bits.
-SEEDS = (42, 43, 44, 45)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +30,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component (three-word shingles, three bits)."""
+    """One document of each SimHash component (five-word shingles, similarity of 0.8 or more)."""
     ship(spark)
-    return simhash.near_dedup(docs, shingle=3, budget=3, seeds=SEEDS).select(*COLUMNS)
+    return simhash.near_dedup(docs).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
