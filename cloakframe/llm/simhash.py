@@ -284,8 +284,15 @@ def links(distinct: DataFrame, count: int, budget: int, most: int = 0) -> DataFr
     hot = distinct.select(F.explode(F.array(*values)).alias("x")).groupBy("x.b", "x.v").count().where(F.col("count") > 2.5 * share)
     chunks = {(r.b, r.v): int(np.ceil(r["count"] / (1.25 * share))) for r in hot.collect()}  # at most 0.4 n values
     rest = [c for c in distinct.columns if c != "fp"]
-    routed = distinct.select("fp", *rest).mapInArrow(_routes(budget, chunks), ", ".join(["route long, block tinyint, key long", *(f"{c} long" for c in rest)]))
-    return routed.repartition(n, "route").select("block", "key", *rest).mapInArrow(_join(budget, most), "u long, v long")
+    return dealt(distinct.select("fp", *rest), budget, chunks).mapInArrow(_join(budget, most), "u long, v long")
+
+
+def dealt(rows: DataFrame, budget: int, chunks: dict[tuple[int, int], int]) -> DataFrame:
+    """``block, key`` and what follows ``fp``: rows that agree on a block meet in one task, and those
+    of a value in ``chunks`` (block and value to a number of chunks) by pairs of chunks."""
+    rest = rows.columns[1:]
+    routed = rows.mapInArrow(_routes(budget, chunks), ", ".join(["route long, block tinyint, key long", *(f"{c} long" for c in rest)]))
+    return routed.repartition(partitions(rows.sparkSession), "route").select("block", "key", *rest)
 
 
 def _edges(table: DataFrame, name: str, budget: int) -> DataFrame:

@@ -10,12 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe import ship
-from cloakframe.llm import bpe, exact_dedup, language_id, mixing, simhash
+from cloakframe.llm import bpe, exact_dedup, jaccard, language_id, mixing
 from cloakframe.llm._common import work_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Words a shingle, fingerprints and differing bits of the candidate search for near copies.
-CANDIDATE = (2, 4, 3)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +30,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component (five-word shingles, similarity of 0.8 or more)."""
+    """One document of each component of texts with a five-word Jaccard index of 0.8 or more."""
     ship(spark)
-    return simhash.near_dedup(docs, candidate=CANDIDATE).select(*COLUMNS)
+    return jaccard.near_dedup(docs).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
