@@ -16,9 +16,10 @@ into chunks by hash and each pair of chunks is a task of its own, so no task get
 a bounded number of rows and no link is lost. The list of such values is bounded by the
 number of partitions. Components are found by distributed star contraction.
 
-Near-duplicate removal (``near_dedup``) joins the same tries on several fingerprints of short
+``near_components`` estimates: it joins the same tries on several fingerprints of short
 shingles and lets leaves link only if signatures of five-word shingles agree as those of texts
-with a similarity of 0.8 or more do. Rows then carry the signature: 57 bytes.
+with a similarity of 0.8 or more do. Rows then carry the signature: 57 bytes. Removal of near
+copies (``near_dedup``) is by the exact index, in ``jaccard``.
 
 Defined results: a text without words (null, empty, blanks) has fingerprint zero and links
 like any other; with fewer words than a shingle the whole sequence is the only shingle. A
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import buffers, by_size, fresh, partitions, small_enough, work_table
+from ._common import buffers, by_size, fresh, partitions, work_table
 from ._words import mix
 from .components import stars
 
@@ -367,15 +368,12 @@ def near_components(docs: DataFrame, candidate: tuple[int, int, int] = CANDIDATE
     return _labelled(table.select("doc_id", "key", "node"), every)
 
 
-def near_dedup(docs: DataFrame, candidate: tuple[int, int, int] = CANDIDATE, signature: tuple[int, int, int] = SIGNATURE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component of :func:`near_components`: the one with
-    the smallest doc_id (rows without come last, ties by hash). Rows that repeat doc_id and
-    text are one document."""
-    rows = work_table(near_components(docs, candidate, signature, doc_id, text).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("row")), "members")
-    first = rows.groupBy(F.col("root").alias("r")).agg(F.min("row").alias("first"))
-    gone = rows.join(first, fresh(rows["root"]) == fresh(first["r"])).where("row <> first").select(F.col("row.key").alias("__gone")).distinct()
-    gone = small_enough(work_table(gone, "gone"), F.lit(8))
-    return docs.join(gone, row_key(doc_id, text) == gone["__gone"], "left_anti")
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without near copies, by the exact Jaccard index: :func:`cloakframe.llm.jaccard.near_dedup`.
+    :func:`near_components` alone loses pairs and links some below the similarity."""
+    from . import jaccard
+
+    return jaccard.near_dedup(docs, shingle, similarity, doc_id, text)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 
 import corpus_pipeline as p
-from cloakframe.llm import jaccard
+from cloakframe.llm import jaccard, simhash
 
 
 def shingles(text, k=5):
@@ -92,3 +92,9 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.doc_id, r.text) for r in jaccard.near_dedup(df).collect()} == {(3, " \t"), (8, "A\x0bB"), (7, "x " * 5000), (6, "é É"), (None, "a b c")}
     assert jaccard.near_dedup(df.limit(0)).count() == 0
+
+
+def test_operator_equals_brute_force_at_its_default(spark):
+    rows = around_the_limit(random.Random(77), 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.near_dedup(df).collect()} == kept_by_brute_force(rows)
