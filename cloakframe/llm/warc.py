@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import hashlib
 import re
 import uuid
 import zlib
@@ -298,6 +299,8 @@ def _read(folder: str, with_payload: bool):
                 fields, http, payload = parse(data[offset - start : offset - start + length])
                 size = int(re.search(rb"Content-Length: (\d+)", http)[1])
                 digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+                if fields["WARC-Type"] == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
+                    raise ValueError(f"payload of {fields['WARC-Record-ID']} in {file} at {offset} is not what its headers say")
                 page, refers = _page_of(fields["WARC-Record-ID"]), fields.get("WARC-Refers-To")
                 rows.append((None if page == _NONE else page, fields.get("WARC-Target-URI"), payload if with_payload else None, size, digest, fields["WARC-Type"], _page_of(refers) if refers else None))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _RECORD, strict=True)], schema=_RECORD)
@@ -308,7 +311,9 @@ def _read(folder: str, with_payload: bool):
 
 
 def read(captures: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """The records at the given places, read in the order in which they lie in the archives."""
+    """The records at the given places, read in the order in which they lie in the archives.
+
+    A response whose body differs in length or SHA-1 from its headers fails the read."""
     n = partitions(captures.sparkSession)
     near = captures.repartition(n, "file", (F.col("offset") / F.lit(_SPAN)).cast("long")).sortWithinPartitions("file", "offset")
     return near.mapInArrow(_read(_uri(folder), with_payload), _RECORD_DDL)

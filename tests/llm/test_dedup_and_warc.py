@@ -2,6 +2,7 @@ import hashlib
 
 import duckdb
 import numpy as np
+import pytest
 
 from cloakframe.llm import exact_dedup, warc
 
@@ -42,3 +43,22 @@ def test_warc_query_and_edges(spark, sf_dir, tmp_path):
     assert warc.surt("http://www.x.example.com:80/p?q#f") == "com,example,x)/p?q"
     empty = df.limit(0)
     assert warc.build_index(warc.write(empty, folder + "2"), folder + "2") == []
+
+
+@pytest.mark.parametrize("stored", [b"short body", b"the body was Stored"])
+def test_warc_read_fails_on_another_payload(spark, tmp_path, stored):
+    body = b"the body was stored"
+    sound = warc.record("http://a.b/x", 1, body, hashlib.sha1(body).hexdigest(), None, "2024-01-01T00:00:00Z")
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 19\r\n\r\n"
+    fake = warc.record("http://a.b/x", 1, stored, hashlib.sha1(body).hexdigest(), None, "2024-01-01T00:00:00Z")
+    raw = warc.zlib.decompress(fake, 31).replace(b"Content-Length: %d\r\n\r\n%s" % (len(stored), stored), b"Content-Length: 19\r\n\r\n" + stored)
+    assert head in raw
+    packer = warc.zlib.compressobj(3, warc.zlib.DEFLATED, 31)
+    fake = packer.compress(raw) + packer.flush()
+    for name, member in (("sound", sound), ("fake", fake)):
+        (tmp_path / name).write_bytes(member)
+    places = spark.createDataFrame([("sound", 0, len(sound)), ("fake", 0, len(fake))], "file string, offset long, length long")
+    folder = "file://" + str(tmp_path)
+    assert [r.payload_bytes for r in warc.read(places.where("file = 'sound'"), folder, with_payload=False).collect()] == [19]
+    with pytest.raises(Exception, match="not what its headers say"):
+        warc.read(places.where("file = 'fake'"), folder, with_payload=False).collect()
