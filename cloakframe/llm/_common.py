@@ -65,6 +65,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions of an exchange: those of the session, or more if a task would get over ``each`` rows."""
+    return max(partitions(spark), -(-rows // each))
+
+
 def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and the n + 1 offsets of a string or binary array; nulls are empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -1,8 +1,14 @@
-"""Near-duplicate removal by the exact Jaccard index of shingle sets.
+"""Near-duplicate removal: SimHash links, checked and completed by the exact Jaccard index.
 
-Texts, A-Z lower-cased, are cut into words; a text's set holds the hash of each run of
-``shingle`` words. Two texts link if their sets' Jaccard index is ``similarity`` or more. Every
-such pair is found or already connected, and no other pair links.
+Texts, A-Z lower-cased, are cut into words; each run of ``shingle`` words is hashed. A text has
+a SimHash fingerprint of them, as in ``simhash``, and the set of its hashes. Two texts link
+if their sets' Jaccard index is ``similarity`` or more. Every such pair is found or already
+connected, and no other pair links.
+
+First links: fingerprints with at most ``budget`` differing bits, by the binary-trie self-join,
+each checked on the sets. That unites most copies with a few changed words. At a similarity of
+0.8 fingerprints differ in ten bits of 64 on average, out of reach of any budget that keeps
+a trie narrow, so the rest is completed without fingerprints:
 
 Candidates: under any one order of all shingles, two such sets share one of the first
 n - ceil(similarity * n) + 1 of each. The order puts shingles that are common in a sample of
@@ -11,13 +17,17 @@ shared prefix shingles meet by shuffle with a sketch of 256 parities, whose diff
 exceed the number of differing shingles: a pair beyond the limit is dropped, without error.
 
 Links: of the rows that a leader may be near, each is paired with the leader only, so a group
-of n copies gives n pairs; all other candidates are pairs of their own. Pairs are verified on the
-whole sets. A second pass pairs what failed against a leader with all it may be near in
-another component: only there can the number of pairs grow with the square of a group.
-
-Scale: shuffled are the prefix shingles (a fifth of all, 8 bytes and a count), then the shared
-ones with sketches; sets move for verified pairs only. Hot shingles are dealt in pairs of chunks.
-Sets are equal if a 64-bit hash of them is; shingles are compared by 64-bit hash.
+of n copies gives n pairs; all other candidates are pairs of their own, unless they are united
+already. Pairs are verified on the whole sets. A second pass pairs what failed against
+a leader with all it may be near in another component: only there can the number of pairs grow
+with the square of a group.
+
+Scale: the first pass over the texts writes the prefix shingles (a fifth of all, 8 bytes each)
+and a sketch of 32 bytes, not the sets; those are made again from the texts of verified pairs.
+Shuffled are the prefix shingles with a count, then the shared ones with sketches. Hot shingles are
+dealt in pairs of chunks, and there are as many tasks as a bounded number of rows in each needs.
+Sets are equal if 128 bits of hash are; shingles are compared by 64-bit hash, so that a set
+of n may be off by one in about n**2 / 2**65 cases.
 
 Defined results: texts without words are equal to each other and to nothing else; with fewer
 words than a shingle the whole sequence is the only one. Nulls count as empty texts.
@@ -30,27 +40,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buffers, by_size, fresh, partitions, small_enough, work_table
+from ._common import buffers, by_size, fresh, small_enough, tasks_for, work_table
 from .components import stars
-from .simhash import _labelled, dealt, row_key, shingle_hashes
+from .simhash import _labelled, dealt, links, majority, row_key, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = (4, 5)
+BUDGET = 3  # differing bits of fingerprints that link at first
 SAMPLE = 16  # one row in so many is counted for the order of shingles
 COMMON = 200_000  # shingles that the order knows
 SKETCH = 4  # words of 64 parities
+TASK_ROWS = 1 << 18  # of some 70 bytes
 _SMALL = 32
 _PAIRS = 1 << 20
 
 
-def shingle_sets(texts: list[bytes], shingle: int, common: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def in_order(hashes: np.ndarray, counts: np.ndarray, common: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different shingles of all texts, each text's in the order of ``level`` and hash, and their numbers."""
-    hashes, counts = shingle_hashes(texts, shingle)
     hashes = hashes.astype(np.uint64)
-    text = np.repeat(np.arange(len(texts)), counts)
+    text = np.repeat(np.arange(len(counts)), counts)
     rank = np.zeros(len(hashes), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
@@ -59,7 +71,7 @@ def shingle_sets(texts: list[bytes], shingle: int, common: np.ndarray, level: np
     text, hashes = text[order], hashes[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-    return hashes[new], np.bincount(text[new], minlength=len(texts))
+    return hashes[new], np.bincount(text[new], minlength=len(counts))
 
 
 def sketches(items: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -88,7 +100,7 @@ def _order(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _texts(batches):
-            h, n = np.unique(shingle_sets(texts, shingle, none, none)[0], return_counts=True)
+            h, n = np.unique(in_order(*shingle_hashes(texts, shingle), none, none)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     counts = rows.where(F.pmod("_key", F.lit(SAMPLE)) == 0).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -98,34 +110,46 @@ def _order(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.ceil(np.log2(n[order])).astype(np.int64) if len(h) else np.zeros(0, np.int64)
 
 
-def _sets(shingle: int, held):
+def _digests(items: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """128 bits of hash of each set, as two arrays of longs."""
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    raw = b"".join(xxhash.xxh3_128_digest(items[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True))
+    return list(np.ascontiguousarray(np.frombuffer(raw, np.int64).reshape(-1, 2).T))
+
+
+def _lists(items: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(items.view(np.int64)))
+
+
+_WIDE = [f"p{k}" for k in range(SKETCH)]
+_ROW = ["id", "doc_id", "key", "h1", "h2", "fp", "size", *_WIDE]
+
+
+def _sets(shingle: int, similarity: tuple[int, int], held):
+    """Of each row a number, the set's hash, fingerprint, size, sketch and prefix shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for b, texts in _texts(batches):
-            items, sizes = shingle_sets(texts, shingle, *held.value)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            node = np.array([xxhash.xxh64_intdigest(items[s:e].tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)], np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(items.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_key"), pa.array(node.view(np.int64)), lists], ["doc_id", "key", "node", "items"])
+            hashes, counts = shingle_hashes(texts, shingle)
+            fp = majority(hashes, counts)
+            items, sizes = in_order(hashes, counts, *held.value)
+            length, start = prefix_lengths(sizes, similarity), np.cumsum(sizes) - sizes
+            place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
+            numbers = [np.arange(row, row + len(texts)), b.column("_id"), b.column("_key"), *_digests(items, sizes), fp.view(np.int64), sizes, *sketches(items, sizes).view(np.int64).T]
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays([*(x if isinstance(x, pa.Array) else pa.array(np.ascontiguousarray(x), pa.int64()) for x in numbers), _lists(items[place], length)], [*_ROW, "prefix"])
 
     return run
 
 
-def _prefixes(similarity: tuple[int, int], extra: bool):
-    """The prefix shingles ``fp`` of each row's set, with its node; and with size and sketch if asked for."""
+def _whole(shingle: int, held):
+    """The whole set of each text, with its hash, in the order that :func:`_sets` used for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("items")
-            items, sizes = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            length, start = prefix_lengths(sizes, similarity), np.cumsum(sizes) - sizes
-            row = np.repeat(np.arange(len(sizes)), length)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length) + start[row]
-            columns, names = [items[place].view(np.int64)], ["fp"]
-            if extra:
-                rest = [b.column(k).to_numpy() for k in range(b.num_columns) if b.schema.names[k] != "items"]
-                columns += [x[row] for x in [*rest, sizes, *sketches(items, sizes).view(np.int64).T]]
-                names += [n for n in b.schema.names if n != "items"] + ["size", *(f"p{k}" for k in range(SKETCH))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names)
+        for _, texts in _texts(batches):
+            items, sizes = in_order(*shingle_hashes(texts, shingle), *held.value)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _digests(items, sizes)), _lists(items, sizes)], ["a1", "a2", "items"])
 
     return run
 
@@ -138,25 +162,28 @@ def may_be_near(size: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarr
     return (np.minimum(a, b) * den >= num * np.maximum(a, b)) & (apart * (num + den) <= (a + b) * (den - num))
 
 
-def group_pairs(size: np.ndarray, sketch: np.ndarray, lo: int, hi: int, similarity: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows lo..hi-1 that may be near, but of those near one leader only the pairs with it."""
+def group_pairs(size: np.ndarray, sketch: np.ndarray, root: np.ndarray, lo: int, hi: int, similarity: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows lo..hi-1 that may be near, but of those near one leader only the pairs with
+    it; rows of one component count as near without a pair."""
     rest = np.arange(lo, hi)
     while len(rest) > 1:
         lead, others = rest[0], rest[1:]
-        ok = may_be_near(size, sketch, lead, others, similarity)
+        united = root[lead] == root[others]
+        ok = united | may_be_near(size, sketch, lead, others, similarity)
+        yield np.full((ok & ~united).sum(), lead), others[ok & ~united]
         hits, rest = others[ok], others[~ok]
-        yield np.full(len(hits), lead), hits
         step = max(1, _PAIRS // max(len(rest), 1))
         for k in range(0, len(hits) if len(rest) else 0, step):
             part = hits[k : k + step]
             i, j = np.repeat(part, len(rest)), np.tile(rest, len(part))
-            ok = may_be_near(size, sketch, i, j, similarity)
+            ok = (root[i] != root[j]) & may_be_near(size, sketch, i, j, similarity)
             yield i[ok], j[ok]
 
 
 def _pairs(similarity: tuple[int, int], second: bool):
-    """Candidate pairs of nodes among the rows that reach a task; in the ``second`` pass, rows with
-    component and open flag: pairs of two components of which one node at least is open."""
+    """Candidate pairs of nodes of two components among the rows (shingle, node, component, size,
+    sketch) that reach a task; in the ``second`` pass, where rows have an open flag after the
+    component, all pairs of which one node at least is open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=1) for b in batches if b.num_rows]
@@ -169,7 +196,7 @@ def _pairs(similarity: tuple[int, int], second: bool):
         new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
         rows = rows[new]
         key, node, more = rows[:, 0], rows[:, 1], rows[:, 2:]
-        root, is_open = (more[:, 0], more[:, 1] > 0) if second else (node, np.ones(len(rows), bool))
+        root, is_open = more[:, 0], more[:, 1] > 0 if second else np.ones(len(rows), bool)
         size, sketch = more[:, -1 - SKETCH], np.ascontiguousarray(more[:, -SKETCH:]).view(np.uint64)
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         width = np.repeat(np.diff(cut), np.diff(cut))
@@ -192,11 +219,11 @@ def _pairs(similarity: tuple[int, int], second: bool):
                 i = np.flatnonzero(small[:-d] & (key[:-d] == key[d:])) if d < len(key) else key[:0]
                 if not len(i):
                     break
-                ok = may_be_near(size, sketch, i, i + d, similarity)
-                yield i[ok], i[ok] + d
+                i = i[(root[i] != root[i + d]) & may_be_near(size, sketch, i, i + d, similarity)]
+                yield i, i + d
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 if hi - lo > _SMALL:
-                    yield from group_pairs(size, sketch, lo, hi, similarity)
+                    yield from group_pairs(size, sketch, root, lo, hi, similarity)
 
         for i, j in found():
             if len(i):
@@ -207,64 +234,80 @@ def _pairs(similarity: tuple[int, int], second: bool):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """``pairs`` (a work table) with ``near``: whether the sets have that similarity."""
-    num, den = similarity
-    ends = work_table(pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct(), "ends")
-    ours = work_table(sets.join(small_enough(ends, F.lit(8)), sets["node"] == F.col("n"), "left_semi").dropDuplicates(["node"]), "pairsets")
-    left, right = (ours.select(F.col("node").alias(f"n{x}"), F.col("items").alias(f"items{x}")) for x in "uv")
-    both = pairs.join(left, fresh("u") == fresh("nu")).join(right, fresh("v") == fresh("nv"))
-    near = F.size(F.array_intersect("itemsu", "itemsv")) * (num + den) >= (F.size("itemsu") + F.size("itemsv")) * num
-    return work_table(both.select("u", "v", near.alias("near")), "verified")
+def _rooted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``root``: the smallest node of the component that the edges give."""
+    roots = work_table(stars(edges), "roots").select(F.col("u").alias("k"), "root")
+    return nodes.join(small_enough(roots, F.lit(16)), nodes["node"] == F.col("k"), "left").withColumn("root", F.coalesce("root", "node")).drop("k")
 
 
-def components(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def components(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, budget: int = BUDGET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, key, node, root, component_id`` of every row; rows link at a Jaccard index of ``similarity`` (a fraction)."""
     spark = docs.sparkSession
+    num, den = similarity
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), row_key(doc_id, text).alias("_key"))
     held = spark.sparkContext.broadcast(_order(rows, shingle))
-    table = work_table(rows.mapInArrow(_sets(shingle, held), "doc_id long, key long, node long, items array<long>"), "sets")
-    again = table.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("least")).where("c > 1").select(F.col("node").alias("n"), "least")
-    again = small_enough(work_table(again, "repeated"), F.lit(16))
-    sets = table.join(again, table["node"] == again["n"], "left").where("n is null or key = least").select("node", "items")
-
-    counts = work_table(sets.select("items").mapInArrow(_prefixes(similarity, False), "fp long").groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
-    wide = [*(f"p{k}" for k in range(SKETCH))]
-
-    def candidates(sets: DataFrame, shared: DataFrame, second: bool) -> DataFrame:
+    table = work_table(rows.mapInArrow(_sets(shingle, similarity, held), ", ".join([*(f"{n} long" for n in _ROW), "prefix array<long>"])), "sets")
+    again = table.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("least")).where("c > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "least")
+    again = small_enough(work_table(again, "repeated"), F.lit(24))
+    known = table.join(again, (table["h1"] == again["g1"]) & (table["h2"] == again["g2"]), "left").withColumn("node", F.coalesce("least", "id"))
+    nodes = known.where("node = id").select("node", "key", "h1", "h2", "fp", "size", *_WIDE, "prefix")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """``pairs`` (a work table) with ``near``: whether the sets have that similarity."""
+        ends = work_table(pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct(), "ends")
+        named = work_table(nodes.select("node", "key", "h1", "h2").join(small_enough(ends, F.lit(8)), F.col("node") == F.col("n"), "left_semi"), "named")
+        keys = small_enough(work_table(named.select(F.col("key").alias("t")).distinct(), "keys"), F.lit(8))
+        whole = rows.join(keys, rows["_key"] == keys["t"], "left_semi").mapInArrow(_whole(shingle, held), "a1 long, a2 long, items array<long>")
+        ours = work_table(whole.join(small_enough(named, F.lit(32)), (F.col("a1") == named["h1"]) & (F.col("a2") == named["h2"])).select("node", "items").dropDuplicates(["node"]), "pairsets")
+        left, right = (ours.select(F.col("node").alias(f"n{x}"), F.col("items").alias(f"items{x}")) for x in "uv")
+        both = pairs.join(left, fresh("u") == fresh("nu")).join(right, fresh("v") == fresh("nv"))
+        near = F.size(F.array_intersect("itemsu", "itemsv")) * (num + den) >= (F.size("itemsu") + F.size("itemsv")) * num
+        return work_table(both.select("u", "v", near.alias("near")), "verified")
+
+    # the trie's links, from one node of each fingerprint
+    least = work_table(nodes.where("size > 0").groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")), "fingerprints")
+    found = links(least.select("fp"), least.count(), budget)
+    left, right = (least.select(F.col("fp").alias(f"{x}fp"), F.col("first").alias(x)) for x in "uv")
+    apart = found.withColumnsRenamed({"u": "a", "v": "b"}).join(left, fresh("a") == fresh("ufp")).join(right, fresh("b") == fresh("vfp")).select("u", "v")
+    same = nodes.where("size > 0").select("node", F.col("fp").alias("f")).join(least.where("c > 1"), F.col("f") == F.col("fp")).where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    edges = verified(work_table(apart.unionByName(same).distinct(), "pairs")).where("near").select("u", "v")
+
+    # what fingerprints cannot see
+    counts = work_table(nodes.select(F.explode("prefix").alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+
+    def candidates(rooted: DataFrame, shared: DataFrame, second: bool) -> DataFrame:
         total = shared.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-        share = max(total / partitions(spark), 400)
-        chunks = {(0, r.fp % 2**64): int(np.ceil(r.c / (1.25 * share))) for r in shared.where(F.col("c") > 2.5 * share).collect()}
-        names = ["node", *(["root", "open"] if second else []), "size", *wide]
-        every = sets.mapInArrow(_prefixes(similarity, True), ", ".join(f"{n} long" for n in ["fp", *names]))
+        n = tasks_for(spark, total, TASK_ROWS)
+        share = max(total / n, 400)
+        chunks = {(0, r.fp % 2**64): int(np.ceil(r.c / (1.25 * share))) for r in shared.where(F.col("c") > 2.5 * share).collect()}  # at most 0.4 n
         only = small_enough(shared.select(F.col("fp").alias("h")), F.lit(8))
+        every = rooted.select(F.explode("prefix").alias("fp"), "node", "root", *(["open"] if second else []), "size", *_WIDE)
         met = every.join(only, every["fp"] == only["h"], "left_semi")
-        return work_table(dealt(met, 0, chunks).mapInArrow(_pairs(similarity, second), "u long, v long").distinct(), "pairs")
+        return dealt(met, 0, chunks, n).mapInArrow(_pairs(similarity, second), "u long, v long").distinct()
 
-    first = _verified(candidates(sets, counts, False), sets, similarity)
-    edges = first.where("near").select("u", "v")
-    failed = first.where("not near")
+    first = verified(work_table(candidates(_rooted(edges, nodes), counts, False), "pairs"))
+    edges = edges.unionByName(first.where("near").select("u", "v"))
+    failed = work_table(first.where("not near").select("u", "v"), "failed")
     if not failed.isEmpty():
-        roots = work_table(stars(edges), "roots").withColumnRenamed("u", "k")
-        ru, rv = (roots.select(F.col("k").alias(f"k{x}"), F.col("root").alias(f"r{x}")) for x in "uv")
-        ends = failed.join(ru, fresh("u") == fresh("ku"), "left").join(rv, fresh("v") == fresh("kv"), "left")
-        apart = ends.where(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
-        opened = small_enough(work_table(apart.select(F.explode(F.array("u", "v")).alias("o")).distinct(), "open"), F.lit(8))
-        mine = sets.join(opened, sets["node"] == opened["o"], "left_semi").select("items").mapInArrow(_prefixes(similarity, False), "fp long").distinct()
+        rooted = _rooted(edges, nodes)
+        of = rooted.select("node", "root")
+        ru, rv = (of.select(F.col("node").alias(f"k{x}"), F.col("root").alias(f"r{x}")) for x in "uv")
+        between = failed.join(ru, fresh("u") == fresh("ku")).join(rv, fresh("v") == fresh("kv")).where("ru <> rv")
+        opened = small_enough(work_table(between.select(F.explode(F.array("u", "v")).alias("o")).distinct(), "open"), F.lit(8))
+        mine = nodes.join(opened, nodes["node"] == opened["o"], "left_semi").select(F.explode("prefix").alias("fp")).distinct()
         shared = work_table(counts.join(mine, "fp", "left_semi"), "shared")
-        known = sets.join(roots, fresh(sets["node"]) == fresh(roots["k"]), "left").join(opened, sets["node"] == opened["o"], "left")
-        known = known.select("node", F.coalesce("root", "node").alias("root"), F.col("o").isNotNull().cast("long").alias("open"), "items")
-        more = candidates(known, shared, True).join(first.select("u", "v"), ["u", "v"], "left_anti")
-        edges = edges.unionByName(_verified(work_table(more, "pairs"), sets, similarity).where("near").select("u", "v"))
-    return _labelled(table.select("doc_id", "key", "node"), edges)
+        rooted = rooted.join(opened, rooted["node"] == opened["o"], "left").withColumn("open", F.col("o").isNotNull().cast("long"))
+        more = candidates(rooted, shared, True).join(first.select("u", "v"), ["u", "v"], "left_anti")
+        edges = edges.unionByName(verified(work_table(more, "pairs")).where("near").select("u", "v"))
+    return _labelled(known.select("doc_id", "key", "node"), edges)
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component of :func:`components`: the one with
     the smallest doc_id (rows without come last, ties by hash). Rows that repeat doc_id and
     text are one document."""
-    rows = work_table(components(docs, shingle, similarity, doc_id, text).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("row")), "members")
+    rows = work_table(components(docs, shingle, similarity, doc_id=doc_id, text=text).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("row")), "members")
     first = rows.groupBy(F.col("root").alias("r")).agg(F.min("row").alias("first"))
-    gone = rows.join(first, fresh(rows["root"]) == fresh(first["r"])).where("row <> first").select(F.col("row.key").alias("__gone")).distinct()
-    gone = small_enough(work_table(gone, "gone"), F.lit(8))
-    return docs.join(gone, row_key(doc_id, text) == gone["__gone"], "left_anti")
+    gone = rows.join(first, fresh(rows["root"]) == fresh(first["r"])).where("row <> first").select(F.col("row.doc_id").alias("__id"), F.col("row.key").alias("__gone")).distinct()
+    gone = small_enough(work_table(gone, "gone"), F.lit(16))
+    return docs.join(gone, (row_key(doc_id, text) == gone["__gone"]) & docs[f"`{doc_id}`"].cast("long").eqNullSafe(gone["__id"]), "left_anti")

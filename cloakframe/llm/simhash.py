@@ -16,10 +16,8 @@ into chunks by hash and each pair of chunks is a task of its own, so no task get
 a bounded number of rows and no link is lost. The list of such values is bounded by the
 number of partitions. Components are found by distributed star contraction.
 
-``near_components`` estimates: it joins the same tries on several fingerprints of short
-shingles and lets leaves link only if signatures of five-word shingles agree as those of texts
-with a similarity of 0.8 or more do. Rows then carry the signature: 57 bytes. Removal of near
-copies (``near_dedup``) is by the exact index, in ``jaccard``.
+Removal of near copies (``near_dedup``) starts from the same join on fingerprints of five-word
+shingles; ``jaccard`` checks its links by the exact index and adds those it cannot see.
 
 Defined results: a text without words (null, empty, blanks) has fingerprint zero and links
 like any other; with fewer words than a shingle the whole sequence is the only shingle. A
@@ -38,12 +36,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import buffers, by_size, fresh, partitions, work_table
+from ._common import buffers, by_size, fresh, tasks_for, work_table
 from ._words import mix
 from .components import stars
 
 SEED = 42
 BITS = 64
+TASK_ROWS = 1 << 20  # of 17 bytes
 
 
 def shingle_hashes(texts: list[bytes], shingle: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -59,15 +58,15 @@ def shingle_hashes(texts: list[bytes], shingle: int, seed: int = SEED) -> tuple[
     return np.frombuffer(b"".join(digests), ">u8"), counts
 
 
-def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The fingerprint of each text from its shingles' hashes."""
-    out, has = np.zeros(len(counts), np.uint64), counts > 0
-    if has.any():
-        n = counts[has]
-        bits = np.unpackbits(np.ascontiguousarray(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-        out[has] = np.packbits(2 * sums > n[:, None], axis=1).view(">u8").reshape(-1)
-    return out
+def majority(hashes: np.ndarray, counts: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
+    """The fingerprint of each text from its shingles' hashes, ``at_once`` of which are expanded to bits at a time."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    sums = np.zeros((len(counts), BITS), np.int64)
+    for a in range(0, len(hashes), at_once):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[a : a + at_once], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        own, first = np.unique(text[a : a + at_once], return_index=True)
+        sums[own] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    return np.packbits(2 * sums > np.asarray(counts)[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64)
 
 
 def fingerprints(texts: list[bytes], shingle: int, seeds: tuple[int, ...] = (SEED,)) -> np.ndarray:
@@ -75,14 +74,6 @@ def fingerprints(texts: list[bytes], shingle: int, seeds: tuple[int, ...] = (SEE
     return np.stack([majority(*shingle_hashes(texts, shingle, seed)) for seed in seeds], axis=1)
 
 
-def mixed_fingerprints(texts: list[bytes], shingle: int, copies: int) -> np.ndarray:
-    """``copies`` fingerprints of each text (texts x copies): the shingles are hashed once and
-    every further copy mixes those hashes anew."""
-    hashes, counts = shingle_hashes(texts, shingle)
-    hashes = hashes.astype(np.uint64)
-    return np.stack([majority(mix(hashes + np.uint64(k)) if k else hashes, counts) for k in range(copies)], axis=1)
-
-
 def fingerprint(docs: DataFrame, shingle: int, seeds: tuple[int, ...] = (SEED,), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``key`` (hash of doc_id and text) and for each seed ``fp0, fp1, ...`` (the bits as a long)."""
     names = [f"fp{k}" for k in range(len(seeds))]
@@ -135,13 +126,9 @@ class Forest:
         return (c[lo1] == c[hi1 - 1]) & (c[lo2] == c[hi2 - 1]) & (self.label[lo1] == self.label[lo2])
 
 
-def trie_links(keys: np.ndarray, agree: int, budget: int, at_once: int = 1 << 16, signatures: np.ndarray | None = None, most: int = 0) -> np.ndarray:
-    """Labels (index of the smallest key of the component) of sorted 64-bit keys that link if
-    their first ``agree`` bits are equal and at most ``budget`` of the others differ.
-
-    Without ``signatures`` keys are distinct. With them (keys x words) a link also needs at
-    most ``most`` differing bits between the two signatures, and keys may repeat: below the
-    last bit, runs of equal keys are halved like further levels of the trie."""
+def trie_links(keys: np.ndarray, agree: int, budget: int, at_once: int = 1 << 16) -> np.ndarray:
+    """Labels (index of the smallest key of the component) of sorted, distinct 64-bit keys that
+    link if their first ``agree`` bits are equal and at most ``budget`` of the others differ."""
     n = len(keys)
     forest = Forest(n)
     if n < 2:
@@ -163,23 +150,18 @@ def trie_links(keys: np.ndarray, agree: int, budget: int, at_once: int = 1 << 16
         if single.any():
             i, j = lo1[single], lo2[single]
             near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
-            if signatures is not None:
-                near &= np.bitwise_count(signatures[i] ^ signatures[j]).sum(axis=1) <= most
             forest.link(i[near], j[near])
             lo1, hi1, lo2, hi2, err = (x[~single] for x in (lo1, hi1, lo2, hi2, err))
         if not len(lo1):
             continue
-        below = depth >= BITS  # only equal keys are left in a node
-        bit = np.uint64(0 if below else BITS - 1 - depth)
+        bit = np.uint64(BITS - 1 - depth)
 
         def middle(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
             """Where the keys with the next bit set begin."""
-            if below:
-                return (lo + hi) // 2
             return np.clip(np.searchsorted(keys, ((keys[lo] >> bit) | np.uint64(1)) << bit), lo, hi)
 
         m1, m2 = middle(lo1, hi1), middle(lo2, hi2)
-        same, more = lo1 == lo2, err if below else err + 1
+        same, more = lo1 == lo2, err + 1
         pairs = [(lo1, m1, lo2, m2, err, None), (m1, hi1, m2, hi2, err, None), (lo1, m1, m2, hi2, more, None), (m1, hi1, lo2, m2, more, ~same)]
         parts = []
         for a, b, c, d, e, only in pairs:
@@ -238,34 +220,23 @@ def _routes(budget: int, hot: dict[tuple[int, int], int]):
     return run
 
 
-def _join(budget: int, most: int = 0):
-    """Edges between the fingerprints that reach a task; or, if each comes with a node and a
-    signature, between the nodes whose signatures are near too."""
+def _join(budget: int):
+    """Edges between the fingerprints that reach a task."""
     blocks = _blocks(budget)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in blocks]
         for batch in batches:
-            block = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns[1:]], axis=1)
+            block, key = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             for n in range(len(blocks)):
-                held[n].append(rows[block == n])
+                held[n].append(key[block == n])
         for n, (at, width) in enumerate(blocks):
             if not held[n]:
                 continue
-            rows = np.concatenate(held[n])
+            keys = np.unique(np.concatenate(held[n]))
             held[n] = []
-            if rows.shape[1] == 1:
-                keys = np.unique(rows[:, 0])
-                names = _rotate(keys, BITS - at)
-                label = trie_links(keys, width, budget)
-            else:
-                rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-                new = np.ones(len(rows), bool)
-                new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-                rows = rows[new]
-                names = rows[:, 1]
-                label = trie_links(np.ascontiguousarray(rows[:, 0]), width, budget, signatures=rows[:, 2:], most=most)
+            names = _rotate(keys, BITS - at)
+            label = trie_links(keys, width, budget)
             moved = np.flatnonzero(label != np.arange(len(label)))
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(names[x].view(np.int64)) for x in (moved, label[moved])], ["u", "v"])
@@ -273,27 +244,26 @@ def _join(budget: int, most: int = 0):
     return run
 
 
-def links(distinct: DataFrame, count: int, budget: int, most: int = 0) -> DataFrame:
+def links(distinct: DataFrame, count: int, budget: int) -> DataFrame:
     """Edges (u, v) that connect the fingerprints ``fp`` of ``distinct`` as all links together do.
 
-    If more columns of longs follow ``fp``, they are a node and its signature: edges are then
-    between nodes, and link only if at most ``most`` bits of the signatures differ as well."""
-    spark = distinct.sparkSession
-    n, blocks = partitions(spark), _blocks(budget)
+    A task gets about ``TASK_ROWS`` rows at most, at any number of rows: there are as many
+    tasks as that needs, and a hot block value is dealt in pairs of chunks."""
+    blocks = _blocks(budget)
+    n = tasks_for(distinct.sparkSession, count * len(blocks), TASK_ROWS)
     share = max(count * len(blocks) / n, 400)
     values = [F.struct(F.lit(k).alias("b"), F.shiftrightunsigned(F.when(F.lit(at) == 0, F.col("fp")).otherwise(F.shiftleft("fp", at)), BITS - width).alias("v")) for k, (at, width) in enumerate(blocks)]
     hot = distinct.select(F.explode(F.array(*values)).alias("x")).groupBy("x.b", "x.v").count().where(F.col("count") > 2.5 * share)
     chunks = {(r.b, r.v): int(np.ceil(r["count"] / (1.25 * share))) for r in hot.collect()}  # at most 0.4 n values
-    rest = [c for c in distinct.columns if c != "fp"]
-    return dealt(distinct.select("fp", *rest), budget, chunks).mapInArrow(_join(budget, most), "u long, v long")
+    return dealt(distinct.select("fp"), budget, chunks, n).mapInArrow(_join(budget), "u long, v long")
 
 
-def dealt(rows: DataFrame, budget: int, chunks: dict[tuple[int, int], int]) -> DataFrame:
-    """``block, key`` and what follows ``fp``: rows that agree on a block meet in one task, and those
+def dealt(rows: DataFrame, budget: int, chunks: dict[tuple[int, int], int], n: int) -> DataFrame:
+    """To ``n`` tasks ``block, key`` and what follows ``fp``: rows that agree on a block meet in one task, and those
     of a value in ``chunks`` (block and value to a number of chunks) by pairs of chunks."""
     rest = rows.columns[1:]
     routed = rows.mapInArrow(_routes(budget, chunks), ", ".join(["route long, block tinyint, key long", *(f"{c} long" for c in rest)]))
-    return routed.repartition(partitions(rows.sparkSession), "route").select("block", "key", *rest)
+    return routed.repartition(n, "route").select("block", "key", *rest)
 
 
 def _edges(table: DataFrame, name: str, budget: int) -> DataFrame:
@@ -334,43 +304,9 @@ def _labelled(table: DataFrame, edges: DataFrame) -> DataFrame:
     return table.join(named, fresh(table["node"]) == fresh(named["k"])).select("doc_id", "key", "node", "root", "component_id")
 
 
-CANDIDATE = (2, 6, 4)  # words a shingle, fingerprints, differing bits of any one
-SIGNATURE = (5, 4, 47)  # words a shingle, fingerprints, differing bits of all: 18 % of 256
-
-
-def near_components(docs: DataFrame, candidate: tuple[int, int, int] = CANDIDATE, signature: tuple[int, int, int] = SIGNATURE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, key, node, root, component_id`` of every row, where rows link by similarity of 0.8 or more.
-
-    That similarity is read off a signature of several SimHash fingerprints of five-word
-    shingles: a Jaccard index of 0.8 makes 15 % of its bits differ, and the limit leaves
-    room for the estimate's deviation. At three bits of 64, such pairs would not meet; so the
-    tries are joined on fingerprints of two-word shingles, of which fewer are lost by
-    a changed word, and each pair of leaves must have near signatures to link."""
-    (short, copies, budget), (long, own, most) = candidate, signature
-    names, words = [f"c{k}" for k in range(copies)], [f"s{k}" for k in range(own)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, "_text", 1 << 20):
-            data, o = buffers(b.column("_text"))
-            raw = data.tobytes()
-            texts = [raw[s:e] for s, e in zip(o[:-1], o[1:], strict=True)]
-            both = np.concatenate([mixed_fingerprints(texts, short, copies), mixed_fingerprints(texts, long, own)], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_key"), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in both.T)], ["doc_id", "key", *names, *words])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), row_key(doc_id, text).alias("_key"))
-    found = rows.mapInArrow(run, ", ".join(["doc_id long", "key long", *(f"{n} long" for n in [*names, *words])]))
-    table = work_table(found.withColumn("node", F.xxhash64(*words)), "fingerprints")
-    every = None
-    for name in names:
-        distinct = work_table(table.select(F.col(name).alias("fp"), "node", *words).distinct(), "distinct")
-        edges = links(distinct, distinct.count(), budget, most)
-        every = edges if every is None else every.unionByName(edges)
-    return _labelled(table.select("doc_id", "key", "node"), every)
-
-
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near copies, by the exact Jaccard index: :func:`cloakframe.llm.jaccard.near_dedup`.
-    :func:`near_components` alone loses pairs and links some below the similarity."""
+    """``docs`` without near copies: the trie's links, checked and completed by the exact Jaccard
+    index of the shingle sets (:func:`cloakframe.llm.jaccard.near_dedup`)."""
     from . import jaccard
 
     return jaccard.near_dedup(docs, shingle, similarity, doc_id, text)

@@ -81,7 +81,7 @@ def test_group_pairs_leave_out_only_what_shares_a_leader():
     size = rng.integers(20, 30, 80)
     sets = [rng.choice(40, n, replace=False).astype(np.uint64) for n in size]
     sketch = jaccard.sketches(np.concatenate(sets), size)
-    got = {(int(a), int(b)) for i, j in jaccard.group_pairs(size, sketch, 0, 80, (1, 2)) for a, b in zip(i, j, strict=True)}
+    got = {(int(a), int(b)) for i, j in jaccard.group_pairs(size, sketch, np.arange(80), 0, 80, (1, 2)) for a, b in zip(i, j, strict=True)}
     near = {(i, j) for i in range(80) for j in range(i + 1, 80) if 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j]))}
     both = got | {(b, a) for a, b in got}
     assert near and all((i, j) in both or any((k, i) in both and (k, j) in both for k in range(80)) for i, j in near)

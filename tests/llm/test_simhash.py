@@ -136,66 +136,6 @@ def test_several_seeds_equal_brute_force(spark, sf_dir):
     assert {r.doc_id: r.component_id for r in simhash.components(docs, 3, 6, seeds).collect()} == want
 
 
-def united(n, linked):
-    label = list(range(n))
-    for i in range(n):
-        for j in range(i):
-            if linked(i, j):
-                a, b = label[i], label[j]
-                label = [min(a, b) if x in (a, b) else x for x in label]
-    return label
-
-
-def test_trie_with_signatures_equals_brute_force():
-    rng = random.Random(8)
-    for agree, n in ((1, 120), (4, 160)):
-        keys = np.array(sorted(rng.choices(clustered(rng, n // 2), k=n)), np.uint64)  # many repeat
-        base = [rng.getrandbits(64) for _ in range(3)]
-        signatures = np.array([[rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), 3)), rng.getrandbits(2)] for _ in range(n)], np.uint64)
-
-        def near(i, j):
-            apart = sum(int(x).bit_count() for x in signatures[i] ^ signatures[j])
-            return int(keys[i]) >> (64 - agree) == int(keys[j]) >> (64 - agree) and int(keys[i] ^ keys[j]).bit_count() <= 3 and apart <= 5
-
-        got = simhash.trie_links(keys, agree, 3, at_once=40, signatures=signatures, most=5)
-        assert got.tolist() == united(n, near)
-
-
-def test_near_components_equal_brute_force(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.collect()
-    raw = [(r.text or "").encode() for r in rows]
-    (short, copies, budget), (long, own, most) = simhash.CANDIDATE, simhash.SIGNATURE
-    c, s = simhash.mixed_fingerprints(raw, short, copies), simhash.mixed_fingerprints(raw, long, own)
-
-    def near(i, j):
-        return (s[i] == s[j]).all() or (np.bitwise_count(c[i] ^ c[j]).min() <= budget and np.bitwise_count(s[i] ^ s[j]).sum() <= most)
-
-    label, least = united(len(rows), near), {}
-    for r, k in zip(rows, label, strict=True):
-        least[k] = min(least.get(k, r.doc_id), r.doc_id)
-    want = {r.doc_id: least[k] for r, k in zip(rows, label, strict=True)}
-    assert {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()} == want
-
-
-def test_near_links_with_hot_values(spark):
-    rng = random.Random(13)
-    base, rows = rng.getrandbits(64), []
-    for k in range(2500):  # a third of all rows share one fingerprint, and half of these a signature within reach
-        fp = base if k % 3 == 0 else base ^ rng.getrandbits(48) if k % 3 == 1 else rng.getrandbits(64)
-        rows.append((fp, k, base ^ (1 << rng.randrange(64)) if k % 2 else rng.getrandbits(64)))
-    df = spark.createDataFrame([tuple(int(np.uint64(x).view(np.int64)) for x in r) for r in rows], "fp long, node long, s0 long")
-    got = {r.u: r.root for r in stars(simhash.links(df, len(rows), 3, 4)).collect()}
-    fps, sigs = (np.array([r[k] for r in rows], np.uint64) for k in (0, 2))
-    label = np.arange(len(rows))
-    for i in range(len(rows)):
-        hit = np.flatnonzero((np.bitwise_count(fps[:i] ^ fps[i]) <= 3) & (np.bitwise_count(sigs[:i] ^ sigs[i]) <= 4))
-        if len(hit):
-            found = np.unique(np.append(label[hit], label[i]))
-            label[np.isin(label, found)] = found[0]
-    assert [got.get(k, k) for k in range(len(rows))] == label.tolist() and len(set(label)) < len(rows) - 300
-
-
 def test_near_copies_go_and_others_stay(spark):
     rng = random.Random(4)
     vocabulary = [f"w{k}" for k in range(3000)]
