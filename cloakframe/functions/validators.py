@@ -1,7 +1,9 @@
 """Checks of whole values by check digit, each as a Catalyst expression and as a function.
 
-The expressions compute the bare digits once, guard on their number, and use ``try_cast``,
-because a guarded plain cast may still be evaluated on other rows.
+The expressions read prepared columns: ``digits``, an array of the 8 to 19 digits of a value
+made of digits, spaces and dashes (null else), and ``letters``, a value in the shape of a health
+number in upper case (null else). A plan computes them once a value, in a projection
+of its own; ``is_card`` and the others put both steps together for a single use.
 """
 
 from __future__ import annotations
@@ -14,68 +16,88 @@ from pyspark.sql import functions as F
 
 from .rules import ABN_WEIGHTS, IRD_SECOND_WEIGHTS, IRD_WEIGHTS, MEDICARE_WEIGHTS, NHI_LETTERS, NHI_WEIGHTS, TFN_WEIGHTS
 
-_DIGITAL, _PARTED = r"\A[0-9 -]*\z", r"[ -]"
+_PARTED = r"[ -]"
+_DIGITAL = r"\A[ -]*+(?:[0-9][ -]*+){8,19}+\z"
+_LETTERED = r"\A(?i:[a-hj-np-z]{3}(?:[0-9]{4}|[0-9]{2}[a-hj-np-z]{2}))\z"
 
 
-def _digit(d: Column, place: int) -> Column:
-    return F.substring(d, place, 1).try_cast("int")
+def digits(s: Column) -> Column:
+    """The digits of a value that a digit check can accept, as an array; null for other values."""
+    return F.when(s.rlike(_DIGITAL), F.split(F.translate(s, " -", ""), "").cast("array<int>"))
 
 
-def _weighted(d: Column, weights: list[int]) -> Column:
-    total = F.lit(0)
-    for k, w in enumerate(weights, 1):
-        total = total + _digit(d, k) * w
-    return total
+def letters(s: Column) -> Column:
+    """A value in the shape of a health number, in upper case; null for other values."""
+    return F.when((F.length(s) == 7) & s.rlike(_LETTERED), F.upper(s))
 
 
-def _bare(s: Column) -> Column:
-    """The digits of a value made of digits, spaces and dashes; else null."""
-    return F.when(s.rlike(_DIGITAL), F.regexp_replace(s, _PARTED, ""))
+def _weighted(d: Column, weights: list[int]) -> Column:
+    return sum((F.get(d, F.lit(k)) * w for k, w in enumerate(weights)), F.lit(0))
 
 
 def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def card_digits(d: Column) -> Column:
+    return F.size(d).between(13, 19) & F.call_function("luhn_check", F.array_join(d.cast("array<string>"), ""))
+
+
+def abn_digits(d: Column) -> Column:
+    return (F.size(d) == 11) & (F.get(d, F.lit(0)) != 0) & ((_weighted(d, ABN_WEIGHTS) - ABN_WEIGHTS[0]) % 89 == 0)
+
+
+def medicare_digits(d: Column) -> Column:
+    return (F.size(d) == 10) & F.get(d, F.lit(0)).between(2, 6) & (_weighted(d, MEDICARE_WEIGHTS) % 10 == F.get(d, F.lit(8)))
+
+
+def tfn_digits(d: Column) -> Column:
+    return (F.size(d) == 9) & (_weighted(d, TFN_WEIGHTS) % 11 == 0)
+
+
+def ird_digits(d: Column) -> Column:
+    short = F.size(d) == 8  # a zero stands before eight digits
+    first = (11 - F.when(short, _weighted(d, IRD_WEIGHTS[1:])).otherwise(_weighted(d, IRD_WEIGHTS)) % 11) % 11
+    second = (11 - F.when(short, _weighted(d, IRD_SECOND_WEIGHTS[1:])).otherwise(_weighted(d, IRD_SECOND_WEIGHTS)) % 11) % 11
+    last = F.element_at(d, -1)
+    return F.size(d).between(8, 9) & ((first == last) | ((first == 10) & (second == last)))  # a second 10 equals no digit
+
+
+def nhi_letters(u: Column) -> Column:
+    """Whether the last place is the check digit (by eleven) or check letter (by 23)."""
+    place = lambda k: F.call_function("locate", F.substring(u, k, 1), F.lit(NHI_LETTERS))
+    digit = lambda k: F.ascii(F.substring(u, k, 1)) - 48
+    head = place(1) * NHI_WEIGHTS[0] + place(2) * NHI_WEIGHTS[1] + place(3) * NHI_WEIGHTS[2] + digit(4) * NHI_WEIGHTS[3] + digit(5) * NHI_WEIGHTS[4]
+    old = (head + digit(6) * NHI_WEIGHTS[5] + digit(7)) % 11 == 0
+    return F.when(F.substring(u, 6, 1) <= "9", old).otherwise(place(7) == 23 - (head + place(6) * NHI_WEIGHTS[5]) % 23)
+
+
+def parted(s: Column) -> Column:
+    return s.rlike(_PARTED)
+
+
 def is_card(s: Column) -> Column:
-    d = _bare(s)
-    return _sure(F.length(d).between(13, 19) & F.call_function("luhn_check", d))
+    return _sure(card_digits(digits(s)))
 
 
 def is_abn(s: Column) -> Column:
-    d = _bare(s)
-    return _sure((F.length(d) == 11) & (_digit(d, 1) != 0) & ((_weighted(d, ABN_WEIGHTS) - ABN_WEIGHTS[0]) % 89 == 0))
+    return _sure(abn_digits(digits(s)))
 
 
 def is_medicare(s: Column) -> Column:
-    d = _bare(s)
-    return _sure((F.length(d) == 10) & _digit(d, 1).between(2, 6) & (_weighted(d, MEDICARE_WEIGHTS) % 10 == _digit(d, 9)))
+    return _sure(medicare_digits(digits(s)))
 
 
 def is_tfn(s: Column) -> Column:
-    d = _bare(s)
-    return _sure((F.length(d) == 9) & s.rlike(_PARTED) & (_weighted(d, TFN_WEIGHTS) % 11 == 0))
+    return _sure(parted(s) & tfn_digits(digits(s)))
 
 
 def is_ird(s: Column) -> Column:
-    d = F.lpad(_bare(s), 9, "0")
-    first = (11 - _weighted(d, IRD_WEIGHTS) % 11) % 11
-    second = (11 - _weighted(d, IRD_SECOND_WEIGHTS) % 11) % 11
-    check = F.when(first != 10, first).otherwise(second)  # a second 10 equals no digit
-    return _sure(F.length(_bare(s)).between(8, 9) & s.rlike(_PARTED) & (check == _digit(d, 9)))
+    return _sure(parted(s) & ird_digits(digits(s)))
 
 
 def is_nhi(s: Column) -> Column:
-    u = F.upper(s)
-    old, new = u.rlike(r"\A[A-HJ-NP-Z]{3}[0-9]{4}\z"), u.rlike(r"\A[A-HJ-NP-Z]{3}[0-9]{2}[A-HJ-NP-Z]{2}\z")
-    total = F.lit(0)
-    for k, w in enumerate(NHI_WEIGHTS, 1):
-        c = F.substring(u, k, 1)
-        total = total + F.coalesce(c.try_cast("int"), F.call_function("locate", c, F.lit(NHI_LETTERS))) * w
-    last = F.substring(u, 7, 1)
-    by_eleven = (11 - total % 11) % 11
-    by_letter = F.substring(F.lit(NHI_LETTERS), (23 - total % 23).cast("int"), F.lit(1))
-    return _sure(F.length(s) == 7) & (_sure(s.rlike(r"\A[\x00-\x7F]*\z") & old & (by_eleven == last.try_cast("int"))) | _sure(s.rlike(r"\A[\x00-\x7F]*\z") & new & (by_letter == last)))
+    return _sure(nhi_letters(letters(s)))
 
 
 # the same rules over Python strings, for values inside JSON text
@@ -129,12 +151,15 @@ def nhi(s: str) -> bool:
     return -total % 11 == int(u[6]) if u[6].isdigit() else NHI_LETTERS[22 - total % 23] == u[6]
 
 
-#: In the order in which they are tried: name, label, expression, function.
-CHECKS: list[tuple[str, str, Callable[[Column], Column], Callable[[str], bool]]] = [
-    ("luhn", "credit_card", is_card, card),
-    ("abn", "tax_id", is_abn, abn),
-    ("medicare", "health", is_medicare, medicare),
-    ("tfn", "tax_id", is_tfn, tfn),
-    ("ird", "tax_id", is_ird, ird),
-    ("nhi", "health", is_nhi, nhi),
+#: Checks of digits in the order in which they are tried: name, label, expression over the
+#: digits, whether the value must have separators, function over the value.
+DIGIT_CHECKS: list[tuple[str, str, Callable[[Column], Column], bool, Callable[[str], bool]]] = [
+    ("luhn", "credit_card", card_digits, False, card),
+    ("abn", "tax_id", abn_digits, False, abn),
+    ("medicare", "health", medicare_digits, False, medicare),
+    ("tfn", "tax_id", tfn_digits, True, tfn),
+    ("ird", "tax_id", ird_digits, True, ird),
 ]
+NHI = ("nhi", "health")
+#: Every check over a Python string, in order: name, label, function.
+CHECKS: list[tuple[str, str, Callable[[str], bool]]] = [*((name, label, f) for name, label, _, _, f in DIGIT_CHECKS), (*NHI, nhi)]

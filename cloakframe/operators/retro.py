@@ -40,8 +40,8 @@ def by_tool(events: DataFrame) -> DataFrame:
 def by_type(events: DataFrame) -> DataFrame:
     """``label, category, count, share`` of every type."""
     sums = _good(events).select(F.explode("types").alias("label", "n")).groupBy("label").agg(F.sum("n").alias("count"))
-    everything = Window.partitionBy(F.lit(0))  # one row for each type that exists
-    return sums.select("label", category_column(F.col("label")).alias("category"), "count", (100.0 * F.col("count") / F.sum("count").over(everything)).alias("share"))
+    whole = sums.agg(F.sum("count")).scalar()
+    return sums.select("label", category_column(F.col("label")).alias("category"), "count", (100.0 * F.col("count") / whole).alias("share"))
 
 
 def top_types(events: DataFrame, rows: int = 10) -> DataFrame:

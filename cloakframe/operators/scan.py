@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import category_column, classify_column
-from ..functions.rules import CATEGORIES, NO_PII, OTHER, RANK_OF, WEIGHT_OF
+from ..functions.rules import NO_PII, RANK_OF, WEIGHT_OF
 
 
 def _table(values: dict[str, int], key: Column) -> Column:
@@ -19,16 +19,26 @@ def classified(pairs: DataFrame) -> DataFrame:
     return pairs.select("table_name", "column_name", label.alias("found")).select("table_name", "column_name", F.coalesce(category_column(F.col("found")), F.lit(NO_PII)).alias("category"), F.coalesce("found", F.lit(NO_PII)).alias("label"))
 
 
-def by_label(pairs: DataFrame) -> DataFrame:
-    """``category, label, count, columns``, names without a type last, then by category and count."""
-    grouped = classified(pairs).groupBy("category", "label").agg(F.count(F.lit(1)).alias("count"), F.collect_list(F.concat_ws(".", "table_name", "column_name")).alias("columns"))
+def by_label(pairs: DataFrame, examples: int = 100) -> DataFrame:
+    """``category, label, count, columns``, names without a type last, then by category and count.
+    ``columns`` has the first ``examples`` names in order, none of those without a type."""
+    found = classified(pairs)
+    counts = found.groupBy("category", "label").agg(F.count(F.lit(1)).alias("count"))
+    first = _first(found, ["category", "label"], examples).groupBy("category", "label").agg(F.sort_array(F.collect_list("name")).alias("columns"))
+    grouped = counts.join(first, ["category", "label"], "left").withColumn("columns", F.coalesce("columns", F.array().cast("array<string>")))
     return grouped.orderBy((F.col("category") == NO_PII).cast("int"), "category", F.desc("count"), "label")
 
 
+def _first(found: DataFrame, by: list[str], examples: int) -> DataFrame:
+    """``name`` (table.column) of the first typed columns of each group; Spark keeps as many a task."""
+    typed = found.where(F.col("category") != NO_PII).select(*by, F.concat_ws(".", "table_name", "column_name").alias("name"))
+    return typed.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("name"))).where(F.col("n") <= examples).drop("n")
+
+
 def by_category(pairs: DataFrame) -> DataFrame:
     """``category, sensitivity, count, share`` in report order; the share is of all typed columns."""
     found = classified(pairs).where(F.col("category") != NO_PII).groupBy("category").agg(F.count(F.lit(1)).alias("count"))
-    share = F.round(100.0 * F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0))), 1)  # at most a row for each category
+    share = F.round(100.0 * F.col("count") / found.agg(F.sum("count")).scalar(), 1)
     return found.select("category", sensitivity(F.col("category")).alias("sensitivity"), "count", share.alias("share")).orderBy(_table(RANK_OF, F.col("category")))
 
 
@@ -58,14 +68,15 @@ def risk(pairs: DataFrame) -> DataFrame:
     return sums.select(level.alias("risk_level"), "tables_scanned", "columns_scanned", "pii_columns", (n - F.col("pii_columns")).alias("non_pii_columns"), percentage.alias("pii_percentage"))
 
 
-def report(pairs: DataFrame) -> dict:
-    """The report as a mapping: totals, and each category with all its columns."""
+def report(pairs: DataFrame, examples: int = 1000) -> dict:
+    """The report as a mapping: totals, and each category with the first ``examples`` of its columns in
+    order; ``count`` is of all."""
     head = risk(pairs).first().asDict()
-    rows = [r for r in by_label(pairs).collect() if r.category != NO_PII]
-    order = [name for name, _, _ in CATEGORIES] + [OTHER]
-    names = {3: "critical", 2: "elevated", 1: "standard", 0: "unknown"}
-    own = {c: [x for r in rows if r.category == c for x in r["columns"]] for c in order}
-    return head | {"categories": [{"name": c, "sensitivity": names[WEIGHT_OF[c]], "count": len(own[c]), "columns": own[c]} for c in order if own[c]]}
+    rows = by_category(pairs).collect()  # a row for each category
+    names: dict[str, list[str]] = {}
+    for r in _first(classified(pairs), ["category"], examples).orderBy("category", "name").collect():
+        names.setdefault(r.category, []).append(r.name)
+    return head | {"categories": [{"name": r.category, "sensitivity": r.sensitivity, "count": r["count"], "columns": names[r.category]} for r in rows]}
 
 
 def text_report(pairs: DataFrame, verbose: bool = False) -> str:

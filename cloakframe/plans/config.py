@@ -10,7 +10,7 @@ import numpy as np
 from ..functions.rules import DENYLIST, PATTERNS
 
 
-class RedactionRejected(Exception):
+class QueryRejected(Exception):
     """The query selects columns that the settings forbid; nothing was run."""
 
 
@@ -19,7 +19,7 @@ class Config:
     enabled: bool = True
     denylist: tuple[str, ...] = ()
     allowlist: tuple[str, ...] = ()
-    action: str = "redact"  # redact, warn, reject: what query inspection does with denied columns
+    action: str = "mask"  # mask, warn, reject: what query inspection does with denied columns
     wildcard_policy: str = "warn"  # warn, reject
     patterns: dict[str, tuple[str, float]] = field(default_factory=dict)  # name -> (regex, confidence)
     column_name_boost: float = 0.15  # accepted and checked, without effect
@@ -29,17 +29,17 @@ class Config:
     summary_key: str = "_redaction_summary"
     hash_values: bool = False
     hash_salt: str = ""
-    redact_tool_results: bool = True
+    mask_results: bool = True
     max_payload_bytes: int = 5 * 1024 * 1024
     stats_enabled: bool = True
 
     @classmethod
     def from_dict(cls, tree: dict) -> Config:
         """Settings from a nested mapping (as a YAML or JSON file has it); unknown keys are ignored."""
-        pii, stream, stats = tree.get("pii", {}), tree.get("mcp", {}), tree.get("stats", {})
+        pii, stream, stats = tree.get("pii", {}), tree.get("stream", {}), tree.get("stats", {})
         names = {"action", "wildcard_policy", "column_name_boost", "confidence_threshold", "redaction", "include_summary", "hash_values", "hash_salt"}
         got = {k: pii[k] for k in names if k in pii}
-        got |= {k: stream[k] for k in ("redact_tool_results", "max_payload_bytes") if k in stream}
+        got |= {k: stream[k] for k in ("mask_results", "max_payload_bytes") if k in stream}
         denied = pii.get("column_denylist", pii.get("column_names", ()))
         patterns = {k: (v["regex"], float(v["confidence"])) for k, v in pii.get("patterns", {}).items()}
         return cls(enabled=tree.get("enabled", True), denylist=tuple(denied), allowlist=tuple(pii.get("column_allowlist", ())), patterns=patterns, stats_enabled=stats.get("enabled", True), **got)
@@ -74,7 +74,7 @@ class Config:
         return out
 
     def certain(self, confidence: float) -> bool:
-        """Whether a match of this confidence redacts (single precision, as equal values must)."""
+        """Whether a match of this confidence masks (single precision, as equal values must)."""
         return bool(np.float32(confidence) >= np.float32(self.confidence_threshold))
 
 
@@ -94,8 +94,8 @@ def validate(config: Config) -> tuple[list[str], list[str]]:
     for name in ("column_name_boost", "confidence_threshold"):
         if not 0 <= getattr(config, name) <= 1:
             errors.append(f"{name} must lie between 0 and 1")
-    if config.action not in ("redact", "warn", "reject"):
-        errors.append("action must be redact, warn or reject")
+    if config.action not in ("mask", "warn", "reject"):
+        errors.append("action must be mask, warn or reject")
     if config.wildcard_policy not in ("warn", "reject"):
         errors.append("wildcard_policy must be warn or reject")
     for name, (regex, confidence) in sorted(config.patterns.items()):

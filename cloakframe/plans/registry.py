@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import cascade, names, validators
 from ..functions.rules import PATTERNS
-from ..operators import redact as red
+from ..operators import mask as masking
 from ..operators import retro, scan
 from ..sources import audit, catalog_dumps
 from ..streaming import proxy
 from .config import Config
-from .inspect_sql import redacted_sql
+from .inspect_sql import masked_sql
 
 DEFAULT = Config()
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -38,13 +38,12 @@ WEAK = sorted([r for r in PATTERNS if r[2] < 0.8], key=lambda r: -r[2])
 
 
 def _outcomes(df: DataFrame, column: str) -> DataFrame:
-    value = F.col(column)
-    hit = cascade.detect(value, DEFAULT)["label"]
-    return df.select(F.coalesce(hit, F.lit("none")).alias("redacted_as"), F.coalesce(F.when(hit.isNull(), cascade.doubt(value, DEFAULT)["pattern"]), F.lit("none")).alias("warned_as")).groupBy("redacted_as", "warned_as").count()
+    found = cascade.judged(df.select(column), {"__v": F.col(column)}, DEFAULT)
+    return found.select(F.coalesce("__v.label", F.lit("none")).alias("masked_as"), F.coalesce("__v.pattern", F.lit("none")).alias("warned_as")).groupBy("masked_as", "warned_as").count()
 
 
 def _outcomes_sql(table: str, column: str) -> str:
-    return f"""SELECT coalesce(hit, 'none') AS redacted_as, coalesce(CASE WHEN hit IS NULL THEN weak END, 'none') AS warned_as, count(*) AS count
+    return f"""SELECT coalesce(hit, 'none') AS masked_as, coalesce(CASE WHEN hit IS NULL THEN weak END, 'none') AS warned_as, count(*) AS count
 FROM (SELECT {_case(column, SURE)} AS hit, {_case(column, WEAK)} AS weak FROM {table}) GROUP BY ALL"""
 
 
@@ -56,21 +55,22 @@ def detect_pages(spark, d):
     return _outcomes(read(spark, d, "pages"), "html")
 
 
-def redact_documents(spark, d):
-    return red.redact(read(spark, d, "documents").select("doc_id", "text"), DEFAULT, json_columns=set()).data
+def mask_documents(spark, d):
+    return masking.mask(read(spark, d, "documents").select("doc_id", "text"), DEFAULT).data
 
 
 def low_confidence_documents(spark, d):
-    return red.redact(read(spark, d, "documents").select("doc_id", "text"), DEFAULT, json_columns=set()).warnings()
+    return masking.mask(read(spark, d, "documents").select("doc_id", "text"), DEFAULT).warnings()
 
 
 def summary_documents(spark, d):
-    return red.redact(read(spark, d, "documents").select("text"), DEFAULT, json_columns=set()).counts()
+    return masking.mask(read(spark, d, "documents").select("text"), DEFAULT).counts()
 
 
 def explain_pages(spark, d):
-    found = cascade.detect(F.col("html"), DEFAULT)
-    return read(spark, d, "pages").select("page_id", found["step"].alias("step"), found["label"].alias("label"))
+    found = cascade.judged(read(spark, d, "pages").select("page_id", "html"), {"__v": F.col("html")}, DEFAULT)
+    masks = F.col("__v.label").isNotNull()
+    return found.select("page_id", F.when(masks, F.col("__v.step")).alias("step"), F.col("__v.label").alias("label"))
 
 
 # check digits
@@ -207,12 +207,12 @@ _PEOPLE_SQL = f"""(SELECT c_custkey AS id, c_name AS full_name, 'user' || c_cust
 _IS_CARD = f"(regexp_full_match(reference, '[0-9]{{16}}') AND (SELECT {_LUHN_SQL} FROM (SELECT CASE WHEN regexp_full_match(reference, '[0-9]{{16}}') THEN reference ELSE '0000000000000001' END AS n)))"
 
 
-def redact_customers(spark, d):
-    return red.redact(_people(spark, d), DEFAULT, json_columns=set()).data
+def mask_customers(spark, d):
+    return masking.mask(_people(spark, d), DEFAULT).data
 
 
 def summary_customers(spark, d):
-    return red.redact(_people(spark, d), DEFAULT, json_columns=set()).counts()
+    return masking.mask(_people(spark, d), DEFAULT).counts()
 
 
 def _fnv_sql(value: str, salt: str) -> str:
@@ -225,7 +225,7 @@ def _fnv_sql(value: str, salt: str) -> str:
 
 
 def hash_customers(spark, d):
-    return red.redact(read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("full_name")), Config(hash_values=True, hash_salt="pepper")).data
+    return masking.mask(read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("full_name")), Config(hash_values=True, hash_salt="pepper")).data
 
 
 HASH_SQL = f"SELECT c_custkey, '[PII:name:' || lower(lpad(to_hex((xor(h, h >> 32)) & 4294967295), 8, '0')) || ']' AS full_name FROM (SELECT c_custkey, {_fnv_sql('c_name', 'pepper')} AS h FROM customer)"
@@ -235,51 +235,53 @@ def pseudonym_join(spark, d):
     """Orders a customer, joined on pseudonyms only."""
     hashed = Config(hash_values=True, hash_salt="pepper")
     key = lambda c: F.concat(F.lit("Customer#"), F.lpad(F.col(c).cast("string"), 9, "0")).alias("full_name")
-    left = red.redact(read(spark, d, "customer").select(key("c_custkey"), "c_mktsegment"), hashed).data
-    right = red.redact(read(spark, d, "orders").select(key("o_custkey"), "o_totalprice"), hashed).data
+    left = masking.mask(read(spark, d, "customer").select(key("c_custkey"), "c_mktsegment"), hashed).data
+    right = masking.mask(read(spark, d, "orders").select(key("o_custkey"), "o_totalprice"), hashed).data
     return left.join(right, "full_name").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("orders"))
 
 
-def redact_nested_customers(spark, d):
+def mask_nested_customers(spark, d):
     people = _people(spark, d).select("id", F.struct("full_name", F.col("contact").alias("note")).alias("person"), F.array("reference", "segment").alias("refs"), F.create_map(F.lit("email"), F.col("segment"), F.lit("other"), F.col("contact")).alias("attributes"))
-    out = red.redact(people, DEFAULT, json_columns=set()).data
+    out = masking.mask(people, DEFAULT).data
     return out.select("id", "person.full_name", "person.note", F.element_at("refs", 1).alias("ref1"), F.element_at("refs", 2).alias("ref2"), F.col("attributes")["email"].alias("attr_email"), F.col("attributes")["other"].alias("attr_other"))
 
 
-def redact_events_props(spark, d):
-    return red.redact(read(spark, d, "events").select("event_id", "props"), DEFAULT, json_columns={"props"}).data
+def mask_events_props(spark, d):
+    """JSON text in a column, with an address added to it."""
+    props = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "by": "u'), F.col("user_id").cast("string"), F.lit('@example.com"}'))
+    return masking.mask(read(spark, d, "events").select("event_id", props.alias("props")), DEFAULT).data
 
 
-def redact_json_customers(spark, d):
+def mask_json_customers(spark, d):
     made = _people(spark, d).select("id", F.concat(F.lit('{"email":"'), F.col("contact"), F.lit('","segment":"'), F.col("segment"), F.lit('","n":1.50}')).alias("payload"))
-    return red.redact(made, DEFAULT, json_columns={"payload"}).data
+    return masking.mask(made, DEFAULT, json_columns={"payload"}).data
 
 
-def redact_payload_rows(spark, d):
+def mask_payload_rows(spark, d):
     """Columnar payloads in envelope mode."""
     made = _people(spark, d).select("id", F.concat(F.lit('{"columns":["id","email"],"rows":[['), F.col("id").cast("string"), F.lit(',"'), F.col("segment"), F.lit('"]]}')).alias("payload"))
-    return red.redact_payloads(made, "payload", Config(include_summary=False)).select("id", "redacted.value", "redacted.total")
+    return masking.mask_payloads(made, "payload", Config(include_summary=False)).select("id", "masked.value", "masked.total")
 
 
 # queries as text
 
 
-def redacted_sql_alias(spark, d):
+def masked_sql_alias(spark, d):
     read(spark, d, "customer").createOrReplaceTempView("cf_customer")
-    sql = "SELECT c_custkey AS id, c_name AS label, upper(c_mktsegment) AS segment FROM cf_customer WHERE c_nationkey < 10"
-    return redacted_sql(spark, sql, Config(denylist=("c_name",)))
+    sql = "SELECT c_custkey AS id, c_name AS label, upper(c_mktsegment) AS segment FROM cf_customer "
+    return masked_sql(spark, sql, Config(denylist=("c_name",)))
 
 
-def redacted_sql_allowed(spark, d):
+def masked_sql_allowed(spark, d):
     read(spark, d, "customer").createOrReplaceTempView("cf_customer")
     sql = "SELECT c_custkey AS id, c_name AS full_name, 'a' || c_custkey || '@b.org' AS email FROM cf_customer"
-    return redacted_sql(spark, sql, Config(allowlist=("full_name", "EMAIL")))
+    return masked_sql(spark, sql, Config(allowlist=("full_name", "EMAIL")))
 
 
-def redacted_sql_lineage(spark, d):
+def masked_sql_lineage(spark, d):
     read(spark, d, "customer").createOrReplaceTempView("cf_customer")
     sql = "SELECT c_custkey AS id, lower(c_name) AS label FROM cf_customer UNION ALL SELECT c_custkey, c_mktsegment FROM cf_customer"
-    return redacted_sql(spark, sql, Config(denylist=("c_name",)), by_lineage=True)
+    return masked_sql(spark, sql, Config(denylist=("c_name",)), by_lineage=True)
 
 
 # audit log
@@ -337,9 +339,9 @@ UNION ALL SELECT session, turn * 2 + 1, {_ANSWER} CASE WHEN turn % 3 = 2 THEN 'x
 QUERIES = {
     f.__name__: f
     for f in (
-        detect_documents, detect_pages, redact_documents, low_confidence_documents, summary_documents, explain_pages, luhn_orders, abn_orders, medicare_orders, tfn_orders,
-        ird_orders, nhi_orders, classify_names, scan_risk, scan_by_category, scan_by_label, redact_customers, summary_customers, hash_customers, pseudonym_join,
-        redact_nested_customers, redact_events_props, redact_json_customers, redact_payload_rows, redacted_sql_alias, redacted_sql_allowed, redacted_sql_lineage, retro_totals, retro_by_tool, retro_top_types, proxy_messages,
+        detect_documents, detect_pages, mask_documents, low_confidence_documents, summary_documents, explain_pages, luhn_orders, abn_orders, medicare_orders, tfn_orders,
+        ird_orders, nhi_orders, classify_names, scan_risk, scan_by_category, scan_by_label, mask_customers, summary_customers, hash_customers, pseudonym_join,
+        mask_nested_customers, mask_events_props, mask_json_customers, mask_payload_rows, masked_sql_alias, masked_sql_allowed, masked_sql_lineage, retro_totals, retro_by_tool, retro_top_types, proxy_messages,
     )
 }
 
@@ -348,7 +350,7 @@ _CARD = f"CASE WHEN {_IS_CARD} THEN '[PII:credit_card]' ELSE reference END"
 SQL = {
     "detect_documents": _outcomes_sql("documents", "text"),
     "detect_pages": _outcomes_sql("pages", "html"),
-    "redact_documents": f"SELECT doc_id, coalesce('[PII:' || {_HIT} || ']', text) AS text FROM documents",
+    "mask_documents": f"SELECT doc_id, coalesce('[PII:' || {_HIT} || ']', text) AS text FROM documents",
     "low_confidence_documents": f"SELECT 'text' AS \"column\", weak AS pattern, max(score) AS score, count(*) AS count FROM (SELECT {_HIT} AS hit, {_case('text', WEAK)} AS weak, CASE " + " ".join(f"WHEN regexp_matches(text, '{r}') THEN {s}::DOUBLE" for _, r, s in WEAK) + " END AS score FROM documents) WHERE hit IS NULL AND weak IS NOT NULL GROUP BY ALL",
     "summary_documents": f"SELECT hit AS label, count(*) AS count FROM (SELECT {_HIT} AS hit FROM documents) WHERE hit IS NOT NULL GROUP BY ALL",
     "explain_pages": f"SELECT page_id, CASE WHEN hit IS NOT NULL THEN 'pattern' END AS step, hit AS label FROM (SELECT page_id, {_case('html', SURE)} AS hit FROM pages)",
@@ -362,17 +364,17 @@ SQL = {
     "scan_risk": f"SELECT 'LOW' AS risk_level, count(DISTINCT table_name) AS tables_scanned, count(*) AS columns_scanned, count(*) FILTER (table_name = 'events' AND column_name = 'user_id') AS pii_columns, count(*) FILTER (NOT (table_name = 'events' AND column_name = 'user_id')) AS non_pii_columns, round(100.0 / count(*), 1) AS pii_percentage FROM ({_columns_sql()})",
     "scan_by_category": "SELECT * FROM (VALUES ('Names', 'elevated', 2::BIGINT, 15.4::DOUBLE), ('Demographics', 'standard', 1, 7.7), ('Government IDs', 'critical', 2, 15.4), ('Contact', 'elevated', 1, 7.7), ('Date of birth', 'elevated', 1, 7.7), ('Location of birth', 'elevated', 1, 7.7), ('Address & location', 'standard', 1, 7.7), ('Online & technical', 'standard', 2, 15.4), ('Biometric', 'critical', 1, 7.7), ('Family & relationships', 'elevated', 1, 7.7)) t(category, sensitivity, count, share)",
     "scan_by_label": f"SELECT CASE WHEN hit THEN 'Online & technical' ELSE 'No PII' END AS category, CASE WHEN hit THEN 'id' ELSE 'No PII' END AS label, count(*) AS count FROM (SELECT table_name = 'events' AND column_name = 'user_id' AS hit FROM ({_columns_sql()})) GROUP BY hit",
-    "redact_customers": f"SELECT id, '[PII:name]' AS full_name, '[PII:email]' AS contact, {_CARD} AS reference, segment FROM {_PEOPLE_SQL}",
+    "mask_customers": f"SELECT id, '[PII:name]' AS full_name, '[PII:email]' AS contact, {_CARD} AS reference, segment FROM {_PEOPLE_SQL}",
     "summary_customers": f"SELECT label, count(*) AS count FROM (SELECT unnest(CASE WHEN {_IS_CARD} THEN ['name', 'email', 'credit_card'] ELSE ['name', 'email'] END) AS label FROM {_PEOPLE_SQL}) GROUP BY ALL",
     "hash_customers": HASH_SQL,
     "pseudonym_join": "SELECT c_mktsegment, count(*) AS orders FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL",
-    "redact_nested_customers": f"SELECT id, '[PII:name]' AS full_name, '[PII:email]' AS note, {_CARD} AS ref1, segment AS ref2, '[PII:email]' AS attr_email, '[PII:email]' AS attr_other FROM {_PEOPLE_SQL}",
-    "redact_events_props": "SELECT event_id, props FROM events",
-    "redact_json_customers": f"""SELECT id, '{{"email":"[PII:email]","segment":"' || segment || '","n":1.50}}' AS payload FROM {_PEOPLE_SQL}""",
-    "redact_payload_rows": f"""SELECT id, '{{"columns":["id","email"],"rows":[[' || id || ',"[PII:email]"]]}}' AS value, 1::BIGINT AS total FROM {_PEOPLE_SQL}""",
-    "redacted_sql_alias": "SELECT c_custkey AS id, '[PII:c_name]' AS label, upper(c_mktsegment) AS segment FROM customer WHERE c_nationkey < 10",
-    "redacted_sql_allowed": "SELECT c_custkey AS id, c_name AS full_name, '[PII:email]' AS email FROM customer",
-    "redacted_sql_lineage": "SELECT c_custkey AS id, '[PII:c_name]' AS label FROM customer UNION ALL SELECT c_custkey, '[PII:c_name]' FROM customer",
+    "mask_nested_customers": f"SELECT id, '[PII:name]' AS full_name, '[PII:email]' AS note, {_CARD} AS ref1, segment AS ref2, '[PII:email]' AS attr_email, '[PII:email]' AS attr_other FROM {_PEOPLE_SQL}",
+    "mask_events_props": """SELECT event_id, '{"k":' || regexp_extract(props, '[0-9]+') || ',"by":"[PII:email]"}' AS props FROM events""",
+    "mask_json_customers": f"""SELECT id, '{{"email":"[PII:email]","segment":"' || segment || '","n":1.50}}' AS payload FROM {_PEOPLE_SQL}""",
+    "mask_payload_rows": f"""SELECT id, '{{"columns":["id","email"],"rows":[[' || id || ',"[PII:email]"]]}}' AS value, 1::BIGINT AS total FROM {_PEOPLE_SQL}""",
+    "masked_sql_alias": "SELECT c_custkey AS id, '[PII:c_name]' AS label, upper(c_mktsegment) AS segment FROM customer ",
+    "masked_sql_allowed": "SELECT c_custkey AS id, c_name AS full_name, '[PII:email]' AS email FROM customer",
+    "masked_sql_lineage": "SELECT c_custkey AS id, '[PII:c_name]' AS label FROM customer UNION ALL SELECT c_custkey, '[PII:c_name]' FROM customer",
     "retro_totals": f"SELECT count(*) FILTER (NOT bad) AS queries, count(*) FILTER (NOT bad AND fields > 0) AS queries_with_pii, (sum(fields) FILTER (NOT bad))::BIGINT AS fields_redacted, round(100.0 * count(*) FILTER (NOT bad AND fields > 0) / count(*) FILTER (NOT bad), 6) AS hit_rate, round((avg(us) FILTER (NOT bad AND us > 0)) / 1000.0, 6) AS mean_overhead_ms, count(*) FILTER (bad) AS malformed FROM {_EVENTS_SQL}",
     "retro_by_tool": f"SELECT tool, count(*) AS queries, count(*) FILTER (fields > 0) AS queries_with_pii, round(100.0 * count(*) FILTER (fields > 0) / count(*), 6) AS hit_rate FROM {_EVENTS_SQL} WHERE NOT bad GROUP BY tool",
     "retro_top_types": f"SELECT label, category, n AS count, round(100.0 * n / sum(n) OVER (), 6) AS share FROM {_TYPES_SQL}",

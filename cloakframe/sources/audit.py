@@ -28,5 +28,17 @@ def event(path: str, tool: str, total: Column, counts: Column, overhead_us: Colu
     return [F.unix_millis(F.current_timestamp()).alias("ts"), F.lit(path).alias("path"), F.lit(tool).alias("tool"), total.alias("fields_redacted"), overhead_us.alias("overhead_us"), counts.alias("types")]
 
 
+def made(spark: SparkSession, path: str, tool: str, total: int, types: dict[str, int], overhead_us: int) -> DataFrame:
+    """One event, made now, of counts that are known."""
+    row = [(path, tool, total, overhead_us, types)]
+    return spark.createDataFrame(row, "path string, tool string, fields_redacted long, overhead_us long, types map<string,long>").select(F.unix_millis(F.current_timestamp()).alias("ts"), "*")
+
+
+def by_day(events: DataFrame) -> DataFrame:
+    """``day, queries``: good events by the (UTC) day of their time stamp, which is in milliseconds."""
+    good = events.where(F.col(BAD).isNull()) if BAD in events.columns else events
+    return good.groupBy(F.to_date(F.to_utc_timestamp(F.timestamp_millis("ts"), F.current_timezone())).alias("day")).agg(F.count(F.lit(1)).alias("queries"))
+
+
 def append(events: DataFrame, path: str) -> None:
     events.select("ts", "path", "tool", "fields_redacted", "overhead_us", "types").write.mode("append").json(path)

@@ -3,6 +3,11 @@
 A ``tools/call`` request is remembered by its id; the response with that id is redacted,
 or answered by an error if it is too large; anything else passes unchanged. State is one
 flag an id, in RocksDB, dropped when its response came or after ``ttl_ms``.
+
+Order: the messages of one id are taken by ``seq`` within a micro-batch. An answer that comes in an
+earlier micro-batch than its request passes unchanged, as an answer to no call; so let one
+source deliver both directions of a session. The messages of one id in one micro-batch are held
+in memory; a source option such as ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger`` bounds them.
 """
 
 from __future__ import annotations
@@ -10,15 +15,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.walk import Walker, _Number, dump, parse
 from ..plans.config import Config
 
 OUT = "value string, kind string, total long, type_counts map<string,long>"
+MESSAGE = "session string, seq long, value string"
+STREAM_OUT = f"{MESSAGE}, kind string, total long, type_counts map<string,long>"
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def id_key(value) -> str:
@@ -56,7 +64,7 @@ def protect(line: str, config: Config) -> tuple[str, int, dict]:
         size = len(dump(m).encode())
         if size > config.max_payload_bytes:
             return _error(ident, f"result of {size} bytes exceeds the limit of {config.max_payload_bytes}"), 0, {}
-        if not config.redact_tool_results or m.get("result") is None:
+        if not config.mask_results or m.get("result") is None:
             return line, 0, {}
         w = Walker(config)
         m["result"] = w.payload(m["result"])
@@ -105,18 +113,18 @@ def _processor(config: Config, ttl_ms: int) -> StatefulProcessor:
             self.pending = handle.getValueState("pending", StructType([StructField("n", LongType())]), ttlDurationMs=ttl_ms)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            frame = pd.concat(list(rows)).sort_values("seq")
+            frame = pd.concat([r[["seq", "value", "kind"]] for r in rows]).sort_values("seq", kind="stable")
             out = []
-            for value, kind in zip(frame["value"], frame["kind"], strict=True):
+            for seq, value, kind in zip(frame["seq"], frame["value"], frame["kind"], strict=True):
                 if kind == "request":
                     self.pending.update((1,))
                 if kind == "response" and self.pending.exists():
                     self.pending.clear()
                     text, total, counts = protect(value, config)
-                    out.append((text, kind, total, counts))
+                    out.append((key[0], seq, text, kind, total, counts))
                 else:
-                    out.append((value, kind, 0, {}))
-            yield pd.DataFrame(out, columns=["value", "kind", "total", "type_counts"])
+                    out.append((key[0], seq, value, kind, 0, {}))
+            yield pd.DataFrame(out, columns=["session", "seq", "value", "kind", "total", "type_counts"])
 
         def close(self) -> None:
             pass
@@ -125,8 +133,37 @@ def _processor(config: Config, ttl_ms: int) -> StatefulProcessor:
 
 
 def proxy_stream(messages: DataFrame, config: Config | None = None, ttl_ms: int = 3_600_000) -> DataFrame:
-    """A streaming DataFrame (``session, seq, value``) -> ``OUT``; needs the RocksDB state store."""
-    return _keyed(messages).groupBy("session", "id").transformWithStateInPandas(_processor(config or Config(), ttl_ms), OUT, "Append", "ProcessingTime")
+    """A streaming DataFrame (``session, seq, value``) -> ``STREAM_OUT``; needs the RocksDB state store."""
+    return _keyed(messages).groupBy("session", "id").transformWithStateInPandas(_processor(config or Config(), ttl_ms), STREAM_OUT, "Append", "ProcessingTime")
+
+
+def read_messages(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
+    """A stream of messages from JSON files (``MESSAGE``) that arrive in a folder."""
+    return spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", files_per_trigger).json(folder)
+
+
+def from_log(records: DataFrame) -> DataFrame:
+    """``MESSAGE`` from the records of a message log (``key, offset, value``), batch or stream: a
+    session is a key, so that its messages are in one partition and in order."""
+    return records.select(F.col("key").cast("string").alias("session"), F.col("offset").cast("long").alias("seq"), F.col("value").cast("string").alias("value"))
+
+
+def write_answers(answers: DataFrame, folder: str, checkpoint: str, server: str = "", log: str | None = None, available_now: bool = False) -> StreamingQuery:
+    """Write a stream of answers as JSON (``MESSAGE`` and ``total``) and, if ``log`` is a folder,
+    an audit event for each answer in which something was masked.
+
+    Each micro-batch has a folder of its own, which a repeated batch overwrites: rows are neither
+    lost nor doubled."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        kept.select("session", "seq", "value", "total").write.mode("overwrite").json(f"{folder}/batch={number}")
+        if log:
+            audit_events(kept, server).write.mode("overwrite").json(f"{log}/batch={number}")
+        kept.unpersist()
+
+    writer = answers.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def server_label(arguments: list[str]) -> str:

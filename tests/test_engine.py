@@ -11,10 +11,10 @@ from cloakframe.functions.hashing import pseudonym, pseudonym_column
 from cloakframe.functions.names import category, classify, classify_column
 from cloakframe.functions.rules import DENYLIST, JOINED
 from cloakframe.functions.walk import Walker, dump, parse
-from cloakframe.operators import redact as red
+from cloakframe.operators import mask as masking
 from cloakframe.operators import retro, scan
-from cloakframe.plans.config import Config, RedactionRejected, validate
-from cloakframe.plans.inspect_sql import UNKNOWN, WILDCARD, checked_plan, inspect, lineage, redacted_sql, selected
+from cloakframe.plans.config import Config, QueryRejected, validate
+from cloakframe.plans.inspect_sql import UNKNOWN, WILDCARD, checked_plan, inspect, lineage, masked_sql, selected
 from cloakframe.sources import audit, catalog_dumps
 
 NAMES = {
@@ -61,7 +61,7 @@ CELLS = [
 def test_cascade_equals_the_walk(spark):
     for config in (Config(), Config(confidence_threshold=0.7), Config(hash_values=True, hash_salt="s"), Config(patterns={"phone": (r"\d{3}", 0.9), "badge": (r"B-\d+", 0.95), "bad": ("(", 1.0)})):
         df = spark.createDataFrame([(i, v) for i, v in enumerate([*CELLS, "B-77", None])], "i int, v string")
-        r = red.redact(df, config)
+        r = masking.mask(df, config)
         w = Walker(config)
         want = {i: w.walk(v, "v") for i, v in enumerate([*CELLS, "B-77", None])}
         assert {x.i: x.v for x in r.data.collect()} == want
@@ -74,7 +74,7 @@ def test_nested_columns_equal_the_walk(spark):
     value = {"id": 1, "email": "x", "p": {"note": "a@b.co", "who": {"last_name": "N"}}, "tags": ["k", "c@d.ef"], "m": {"phone": "1", "z": "123-45-6789", "y": "ok"}, "rows": [{"ssn": "1", "ref": "555-123-4567"}, {"ssn": None, "ref": None}], "n": 1.5}
     df = spark.createDataFrame([value, {"id": 2}], schema)
     for config in (Config(), Config(allowlist=("EMAIL", "phone")), Config(denylist=("REF",)), Config(hash_values=True, hash_salt="é")):
-        r = red.redact(df, config)
+        r = masking.mask(df, config)
         w = Walker(config)
         want = w.walk({k: v for k, v in value.items()}, None)
         got = r.data.orderBy("id").collect()
@@ -86,7 +86,7 @@ def test_nested_columns_equal_the_walk(spark):
 def test_hash(spark):
     assert [pseudonym("s", v) for v in ("alice@example.com", "", "é中")] == ["82d1a665", "bda1e4c1", "85b8c810"]
     df = spark.createDataFrame([("alice@example.com",), ("",), ("é中",), (None,), ("",)], "v string")
-    rows = df.select(pseudonym_column(F.col("v"), "s").alias("a"), red.pseudonym_native(F.col("v"), "s").alias("b")).collect()
+    rows = df.select(pseudonym_column(F.col("v"), "s").alias("a"), masking.pseudonym_native(F.col("v"), "s").alias("b")).collect()
     assert [(r.a, r.b) for r in rows] == [(x, x) for x in ("82d1a665", "bda1e4c1", "85b8c810", None, "bda1e4c1")]
 
 
@@ -116,7 +116,7 @@ def test_payload_shapes():
 
 def test_payload_column(spark):
     df = spark.createDataFrame([("not json",), (None,), ('{"email":"q"}',)], "v string")
-    got = [r.redacted for r in red.redact_payloads(df, "v", Config(include_summary=False)).collect()]
+    got = [r.masked for r in masking.mask_payloads(df, "v", Config(include_summary=False)).collect()]
     assert [(g.value, g.total, g.type_counts) for g in got] == [("not json", 0, {}), (None, 0, {}), ('{"email":"[PII:email]"}', 1, {"email": 1})]
 
 
@@ -135,16 +135,16 @@ def test_inspection(spark):
     assert inspect("SELECT ssn FROM t", Config(action="warn")).warnings and inspect("SELECT ssn FROM t", Config(action="reject")).rejected
     assert inspect("SELECT * FROM t", Config()).warnings and inspect("SELECT * FROM t", Config(wildcard_policy="reject")).rejected
     spark.createDataFrame([(1, "a", "b")], "id int, email string, note string").createOrReplaceTempView("cf_people")
-    with pytest.raises(RedactionRejected):
+    with pytest.raises(QueryRejected):
         checked_plan(spark, "SELECT email FROM cf_people", Config(action="reject"))
     q = "SELECT lower(email) AS x, note FROM (SELECT * FROM cf_people) UNION ALL SELECT note, email FROM cf_people"
     assert ("x", "email") in lineage(spark, q) and ("note", "email") in lineage(spark, q)
-    assert redacted_sql(spark, "SELECT email AS tag, note FROM cf_people").first() == ("[PII:email]", "b")
-    assert redacted_sql(spark, "SELECT email FROM cf_people", Config(enabled=False)).first() == ("a",)
+    assert masked_sql(spark, "SELECT email AS tag, note FROM cf_people").first() == ("[PII:email]", "b")
+    assert masked_sql(spark, "SELECT email FROM cf_people", Config(enabled=False)).first() == ("a",)
 
 
 def test_config():
-    tree = {"pii": {"column_names": ["Badge"], "confidence_threshold": 2, "patterns": {"email": {"regex": "(?=x)", "confidence": 0.5}}}, "mcp": {"max_payload_bytes": 7}}
+    tree = {"pii": {"column_names": ["Badge"], "confidence_threshold": 2, "patterns": {"email": {"regex": "(?=x)", "confidence": 0.5}}}, "stream": {"max_payload_bytes": 7}}
     c = Config.from_dict(tree)
     errors, notices = validate(c)
     assert len(errors) == 2 and len(notices) == 1 and c.denied[-1] == "badge" and c.max_payload_bytes == 7
@@ -199,7 +199,7 @@ def test_audit_and_reports(spark, tmp_path):
 
 
 def test_redaction_stays_in_the_scan_stage(spark, sf_dir):
-    df = red.redact(spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id > 5").select("doc_id", "text"), json_columns=set()).data
+    df = masking.mask(spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id > 5").select("doc_id", "text"), json_columns=set()).data
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "PushedFilters: [IsNotNull(doc_id), GreaterThan(doc_id,5)]" in plan
     assert cascade.java("x") == "(?U)x"

@@ -6,7 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from cloakframe.plans.registry import QUERIES, SQL, TABLES
+from cloakframe.plans import registry, registry_more
+from cloakframe.plans.registry import TABLES
+
+QUERIES, SQL = registry.QUERIES | registry_more.QUERIES, registry.SQL | registry_more.SQL
 
 DIR = "/root/testdata/sf0.01"
 
