@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 _own_folders: dict[str, str] = {}
 
@@ -65,6 +66,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def others(df: DataFrame, results: list[StructField]) -> list[str]:
+    """Columns of ``df`` that no result has the name of, in any case."""
+    taken = {f.name.lower() for f in results}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
     """Partitions of an exchange: those of the session, or more if a task would get over ``each`` rows."""
     return max(partitions(spark), -(-rows // each))

@@ -48,6 +48,48 @@ def test_overlaps_and_edges(spark, monkeypatch):
     assert sd.remove_repeated(df.limit(0), 5).count() == 0
 
 
+def thue_morse(n):
+    """Two different words that collide under any polynomial modulo 2**64 with an odd base."""
+    w = "a"
+    for _ in range(n):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_in_polynomials_stay_apart(spark):
+    one, other = thue_morse(10)
+    texts = [" ".join([one] * 35), " ".join([other] * 35), " ".join([one] * 36)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in sd.remove_repeated(df, 35).collect()} == {0: 35, 1: 0, 2: 36}
+
+
+def test_verification_decides_where_window_hashes_collide(spark, monkeypatch, tmp_path):
+    """With a window hash that cannot tell most windows apart the result is the same."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(0, 50))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    maybe = sd._pass
+    every = lambda rows, width, verify: maybe(rows, width, verify) if verify else spark.createDataFrame(
+        [(bytearray(hashlib.sha256(t.encode()).digest()), bytearray(np.array([0, len(t.split())], "<u4").tobytes())) for t in set(texts) if len(t.split()) >= 5], "key binary, intervals binary")
+    monkeypatch.setattr(sd, "_pass", every)
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in sd.remove_repeated(df, 5).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 5)
+
+
+def test_long_text_and_hot_passage_in_small_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sd, "RANGE_BYTES", 4000)
+    monkeypatch.setattr(sd, "CHUNK", 3000)
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) + (" " + passage if k % 3 == 0 else "") for k in range(90)]
+    texts.append(" ".join(f"v{rng.randrange(3000)}" for _ in range(30_000)) + " " + passage)
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, N_Removed int").repartition(4)
+    out = sd.remove_repeated(df, 35)
+    assert out.columns == ["doc_id", "text", "n_words", "n_removed", "removed", "kept"]
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in out.collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 35)
+
+
 def test_shuffled_join(spark, monkeypatch):
     monkeypatch.setattr("cloakframe.llm._common.BROADCAST_BYTES", 0)
     texts = ["a b c d e f", "x b c d e y", "a b c d e f", None]
