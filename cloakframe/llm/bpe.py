@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from ._common import binary_array, by_size
+from ._common import binary_array, by_size, others
 
 KEEP_PIECES = 130_000
 KEEP_PAIRS = 300_000
@@ -62,6 +62,9 @@ class Vocabulary:
         model, char = spec["model"], _CHARS
         if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")) or spec.get("normalizer"):
             raise ValueError("only plain byte-level BPE vocabularies are supported")
+        split = spec.get("pre_tokenizer") or {}
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or split.get("use_regex") is False:
+            raise ValueError("only the byte-level pre-tokenizer with its own pattern and no prefix space is supported")
         if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens with matching options are not supported")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -225,12 +228,12 @@ def _content(spark: SparkSession, path: str):
 
 
 def _with(schema: StructType, name: str, kind) -> StructType:
-    return StructType([f for f in schema.fields if f.name != name] + [StructField(name, kind)])
+    return StructType([f for f in schema.fields if f.name.lower() != name.lower()] + [StructField(name, kind)])
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with the ids of ``text`` as binary, little-endian unsigned 32-bit integers."""
-    broadcast, keep = _content(df.sparkSession, path), [c for c in df.columns if c != out]
+    broadcast, keep = _content(df.sparkSession, path), others(df, [StructField(out, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _keep(broadcast, _new_encoder)
@@ -243,7 +246,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of binary ``ids``."""
-    broadcast, keep = _content(df.sparkSession, path), [c for c in df.columns if c != out]
+    broadcast, keep = _content(df.sparkSession, path), others(df, [StructField(out, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _keep(broadcast, Decoder)
@@ -258,7 +261,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
 def encode_and_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """:func:`encode` and :func:`decode` in one Python worker a task: half the memory of two."""
-    broadcast, keep = _content(df.sparkSession, path), [c for c in df.columns if c not in (ids, decoded)]
+    broadcast, keep = _content(df.sparkSession, path), others(df, [StructField(n, StringType()) for n in (ids, decoded)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _keep(broadcast, _new_both)
