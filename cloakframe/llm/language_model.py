@@ -1,22 +1,31 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-Tokens are words (A-Z lower-cased) and one end a text. Every token has one of ``CLASSES``
-classes: the end, each of the most frequent words, or a class by spelling (hash of the last
-two bytes). p(token | context) = p(class | context) * p(token | class).
-p(class | context) is a maximum-entropy model over hashed features of the three tokens
-before: each alone (the farther two are skips), neighbouring pairs, the skip pair and all
-three. p(token | class) is the softmax whose weights are log(count + 1), with one more event
-for words not seen in training; frequent words and the end are classes of their own.
-
-Training: all training texts are counted (contexts by class, words); full-batch gradient
-updates run over the context counts, distributed by context, the gradient being observed
-minus expected class counts of each feature, scaled by its tokens, with momentum. Scoring: sparse
-batches, only the contexts that occur are computed.
-
-Scale: word counts are aggregated by task before their shuffle. Counts of the frequent words
-(at most ``FREQUENT``, by a threshold found from a histogram) are broadcast; a text's other
-words are joined with their counts by shuffle, a few per cent of all tokens, none of them
-hot. Context counts are CLASSES**4 numbers at most, weights ``BUCKETS`` rows, at any size.
+Tokens are words (A-Z lower-cased) and one end a text. A token's unit is the word itself if it
+is one of the ``HEAD`` most frequent ones, else a class by spelling (hash of the last two bytes); the
+end is a unit. ``GROUP`` frequent words of neighbouring rank are a class, any other unit is one.
+p(token | context) = p(class | context) * p(unit | class, context) * p(token | unit),
+where the context is the two units before (ends before a text).
+
+p(class | context) is a maximum-entropy model over hashed features: the class before alone, the
+unit before (bigram), the class and the unit two before (skips), unit with class and unit with unit
+(trigrams). p(unit | class, context) is one over features of the word and what is before it (bigram,
+skip and trigram with classes), with the words' counts as its background. Every feature is joined
+with the class before, so weights of different classes before are apart. p(token | unit) within a
+spelling is by log(count + 1), with one more event for words not seen in training.
+
+Training: all training texts are counted, as triples of units. The triples of one class before
+are one block; its weights get ``updates`` gradient updates in full precision, over all contexts
+of the block, each divided by a bound of the weight's curvature (observed or expected tokens
+times the features of a token) and with momentum. Blocks share no weight, so their updates run
+side by side and nothing is exchanged between them. Scoring: sparse batches in numpy, in which
+only the contexts that occur are computed.
+
+Scale: words are counted by task before their shuffle; triples too, packed, by block and, on large
+corpora, first by slices of blocks, so that what a task sums is bounded. Distinct triples of a
+block are (GROUP * units**2) at most and grow with the corpus up to that; so do distinct words.
+Counts of frequent words (at most ``FREQUENT``, by a threshold found from a histogram) are
+broadcast; a text's other words are joined with their counts by shuffle, a few per cent of
+all tokens, none of them hot. Weights are classes * (ROWS * classes + PAIRS) numbers, about 23 MB.
 Words are counted by 64-bit hash: of m different words about m**2 / 2**65 pairs collide.
 
 Defined results: a null or blank text is one end token. Without training texts every count
@@ -28,7 +37,7 @@ gives an empty result. Columns beside doc_id and text are not used.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,25 +46,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import buffers, by_size, work_table
-
-CLASSES = 40
-TOP_WORDS = 15
-BUCKETS = 1 << 15
+from ._common import buffers, by_size, release, work_table
+
+HEAD = 768
+GROUP = 32
+SPELLED = 24
+GROUPS = HEAD // GROUP
+UNITS = 1 + HEAD + SPELLED
+CLASSES = 1 + GROUPS + SPELLED
+ROWS = 1 << 11  # weights rows of classes, for each class before
+PAIRS = 1 << 14  # weights of words, for each class before
 FREQUENT = 300_000
-UPDATES = 40
-FEATURES = 7
-GRADIENT_TASKS = 3  # the context counts are bounded; more tasks send the shared features more often
-PRIOR = 10.0  # of a weight's Gaussian prior: the inverse variance
-_FIRST_SPELLED = 1 + TOP_WORDS
+UPDATES = 30
+PRIOR = 4.0  # of a weight's Gaussian prior: the inverse variance
+SLICE_TOKENS = 1 << 28  # of a block, a slice
+_FEATURES, _WORD_FEATURES = 6, 3
 _COMPACT = 1 << 20
 
+#: The class of each unit: the end, groups of words, spellings.
+CLASS_OF = np.concatenate([[0], 1 + np.arange(HEAD) // GROUP, 1 + GROUPS + np.arange(SPELLED)])
+
 
 def _spelling(w: _words.Words) -> np.ndarray:
-    """Class of each word by its last two bytes."""
+    """Spelling of each word, from 0: a hash of its last two bytes."""
     last = w.data[w.end - 1].astype(np.int64)
     before = np.where(w.end - w.begin > 1, w.data[np.maximum(w.end - 2, 0)], 0).astype(np.int64)
-    return _FIRST_SPELLED + (last * 257 + before) * 40503 % 65521 % (CLASSES - _FIRST_SPELLED)
+    return (last * 257 + before) * 40503 % 65521 % SPELLED
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _words.Words]]:
@@ -90,54 +106,78 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def classes_of(w: _words.Words, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of every token, ends included; where each text's tokens begin; where words are."""
+def units_of(w: _words.Words, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit of every token, ends included; where each text's tokens begin; where words are."""
     n = np.diff(w.first)
     starts = np.concatenate([[0], np.cumsum(n + 1)])
     out = np.zeros(starts[-1], np.int64)
     place = np.arange(len(w.hash)) + np.repeat(np.arange(len(n)), n)
-    kind = _spelling(w)
+    unit = 1 + HEAD + _spelling(w)
     if len(top):
         order = np.argsort(top)
         at = np.minimum(np.searchsorted(top[order], w.hash), len(top) - 1)
         hit = top[order][at] == w.hash
-        kind[hit] = 1 + order[at[hit]]
-    out[place] = kind
+        unit[hit] = 1 + order[at[hit]]
+    out[place] = unit
     return out, starts, place
 
 
-def contexts(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Number of the context of each token: classes of the three tokens before, ends before a text."""
-    ctx = np.zeros(len(classes), np.int64)
-    for back in (3, 2, 1):
-        prev = np.zeros(len(classes), np.int64)
-        prev[back:] = classes[:-back] if back < len(classes) else 0
+def contexts(units: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Number of the context of each token: the unit before * UNITS + that two before, ends before a text."""
+    ctx = np.zeros(len(units), np.int64)
+    for back, scale in ((1, UNITS), (2, 1)):
+        prev = np.zeros(len(units), np.int64)
+        prev[back:] = units[:-back] if back < len(units) else 0
         for k in range(back):
             at = starts[:-1] + k
             prev[at[at < starts[1:]]] = 0
-        ctx = ctx * CLASSES + prev
+        ctx += prev * scale
     return ctx
 
 
+def _bucket(kind: int, key: np.ndarray, size: int) -> np.ndarray:
+    return (_words.mix((key.astype(np.uint64) << np.uint64(3)) + np.uint64(kind)) % np.uint64(size)).astype(np.int64)
+
+
 def features(ctx: np.ndarray) -> np.ndarray:
-    """Weight rows of each context's active features (n x FEATURES)."""
-    a, b, c = ctx // CLASSES**2, ctx // CLASSES % CLASSES, ctx % CLASSES  # third, second, first before
-    keys = [np.zeros_like(ctx), c, b, a, b * CLASSES + c, a * CLASSES + c, ctx]
-    return np.stack([(_words.mix((k.astype(np.uint64) << np.uint64(4)) + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64) for n, k in enumerate(keys)], axis=1)
+    """Rows of a block's class weights that are active in each context (n x features)."""
+    one, two = ctx // UNITS, ctx % UNITS
+    c2 = CLASS_OF[two]
+    keys = [np.zeros_like(ctx), one, c2, two, one * CLASSES + c2, ctx]
+    return np.stack([_bucket(n, k, ROWS) for n, k in enumerate(keys)], axis=1)
+
+
+def word_features(one: np.ndarray, c2: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """A block's word weights that are active for each member of a group of words (n x GROUP x features)."""
+    word = (1 + group[:, None] * GROUP + np.arange(GROUP)).astype(np.int64)
+    keys = [one[:, None] * UNITS + word, c2[:, None] * UNITS + word, (one * CLASSES + c2)[:, None] * UNITS + word]
+    return np.stack([_bucket(n, k, PAIRS) for n, k in enumerate(keys)], axis=2)
 
 
-def log_softmax(weights: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    z = weights[features(ctx)].sum(axis=1)
-    z -= z.max(axis=1, keepdims=True)
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def _count_contexts(top: np.ndarray):
+def class_logs(weights: np.ndarray, rows: np.ndarray, open_classes: np.ndarray) -> np.ndarray:
+    """log p(class | context) for the active rows (n x features) of each context."""
+    z = np.where(open_classes, 0.0, -np.inf) + weights[rows[:, 0]]
+    for f in range(1, rows.shape[1]):
+        z += weights[rows[:, f]]
+    return _log_softmax(z)
+
+
+def word_logs(weights: np.ndarray, active: np.ndarray, background: np.ndarray) -> np.ndarray:
+    """log p(word | group, context) for the members of each group (n x GROUP)."""
+    return _log_softmax(background + weights[active].sum(axis=2))
+
+
+def _count_triples(top: np.ndarray, slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, size = [], [], 0
         for _, w in _texts(batches):
-            cls, starts, _ = classes_of(w, top)
-            k, n = np.unique(contexts(cls, starts) * CLASSES + cls, return_counts=True)
+            unit, starts, _ = units_of(w, top)
+            k, n = np.unique(contexts(unit, starts) * UNITS + unit, return_counts=True)
             keys.append(k)
             counts.append(n)
             size += len(k)
@@ -145,91 +185,183 @@ def _count_contexts(top: np.ndarray):
                 k, n = _summed(keys, counts)
                 keys, counts, size = [k], [n], len(k)
                 if size > _COMPACT // 2:
-                    yield from _by_farthest(k, n)
+                    yield from _blocks(k, n, slices)
                     keys, counts, size = [], [], 0
         if keys:
-            yield from _by_farthest(*_summed(keys, counts))
+            yield from _blocks(*_summed(keys, counts), slices)
 
     return run
 
 
-def _by_farthest(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sorted keys and counts in blocks of one farthest class each."""
-    cuts = np.searchsorted(keys, np.arange(CLASSES + 1) * CLASSES**3)
-    for block in range(CLASSES):
-        a, b = cuts[block], cuts[block + 1]
-        if a < b:
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([keys[a:b].astype("<u4").tobytes()], pa.binary()), pa.array([counts[a:b].astype("<i8").tobytes()], pa.binary())], ["block", "keys", "counts"])
+_TRIPLES = "route int, keys binary, counts binary"
+
 
+def _blocks(keys: np.ndarray, counts: np.ndarray, slices: int) -> Iterator[pa.RecordBatch]:
+    """Triples and counts by block (the class before) and slice of it, sorted."""
+    route = CLASS_OF[keys // UNITS**2] * slices + (_words.mix(keys.astype(np.uint64)) % np.uint64(slices)).astype(np.int64)
+    order = np.lexsort((keys, route))
+    keys, counts, route = keys[order], counts[order], route[order]
+    cuts = np.searchsorted(route, np.arange(CLASSES * slices + 1))
+    for r in np.flatnonzero(np.diff(cuts)):
+        a, b = cuts[r], cuts[r + 1]
+        planes = np.ascontiguousarray(keys[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T)  # sorted: the high bytes compress well
+        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([planes.tobytes()], pa.binary()), pa.array([counts[a:b].astype("<i8").tobytes()], pa.binary())], ["route", "keys", "counts"])
 
-def _sum_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The sums of each route; parts are summed whenever they are twice what is distinct."""
+    sums: dict[int, tuple[list, list, int, int]] = {}
     for b in batches:
-        for block, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            dense = sums.setdefault(block, np.zeros(CLASSES**3, np.int64))
-            dense[np.frombuffer(keys, "<u4") % CLASSES**3] += np.frombuffer(counts, "<i8")
-    for block, dense in sums.items():
-        k = np.flatnonzero(dense)
-        yield from _by_farthest(block * CLASSES**3 + k, dense[k])
+        for route, planes, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            k = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+            keys, held, size, limit = sums.get(route, ([], [], 0, _COMPACT))
+            keys.append(k)
+            held.append(np.frombuffer(counts, "<i8"))
+            size += len(k)
+            if size > limit:
+                k, n = _summed(keys, held)
+                keys, held, size, limit = [k], [n], len(k), max(_COMPACT, 2 * len(k))
+            sums[route] = (keys, held, size, limit)
+    return {route: _summed(keys, held) for route, (keys, held, _, _) in sums.items()}
 
 
-def _gradient(weights):
+def _sum_slices(slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grad, weight, gain = np.zeros((BUCKETS, CLASSES)), np.zeros(BUCKETS), 0.0
-        for b in batches:
-            for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                k, n = np.frombuffer(keys, "<u4").astype(np.int64), np.frombuffer(counts, "<i8")
-                ctx, row = np.unique(k // CLASSES, return_inverse=True)
-                seen = np.zeros((len(ctx), CLASSES))
-                seen[row, k % CLASSES] = n
-                logs = log_softmax(weights.value, ctx)
-                gain += float((seen * logs).sum())
-                total, p = seen.sum(axis=1, keepdims=True), np.exp(logs)
-                for f in features(ctx).T:
-                    np.add.at(grad, f, seen - total * p)
-                    np.add.at(weight, f, total[:, 0])
-        rows = np.flatnonzero(weight)
-        yield pa.RecordBatch.from_arrays([pa.array([gain]), pa.array([rows.astype("<i4").tobytes()]), pa.array([(grad[rows] / weight[rows, None]).astype("<f2").tobytes()]), pa.array([weight[rows].tobytes()])], ["gain", "rows", "grad", "weight"])
+        for k, n in _gathered(batches).values():
+            yield from _blocks(k, n, 1)
+
+    return run
+
+
+class _Ascent:
+    """Gradient updates of one array of weights, each divided by a bound of its curvature, with momentum
+    that restarts when the objective falls."""
+
+    def __init__(self, start: np.ndarray, seen: np.ndarray, together: int, prior: float):
+        self.weights = self.before = self.ahead = start
+        self.seen, self.together, self.prior, self.best, self.t = seen, together, prior, -np.inf, 1.0
+
+    def step(self, expected: np.ndarray, gain: float) -> None:
+        gain -= self.prior / 2 * float((self.ahead**2).sum())
+        self.t = self.t + 1 if gain >= self.best else 1.0
+        self.best = gain
+        bound = self.together * np.maximum(self.seen, expected) + self.prior
+        self.before, self.weights = self.weights, self.ahead + (self.seen - expected - self.prior * self.ahead) / bound
+        self.ahead = self.weights + (self.t - 1) / (self.t + 2) * (self.weights - self.before)
+
+
+def _train_classes(keys: np.ndarray, counts: np.ndarray, open_classes: np.ndarray, updates: int, prior: float) -> np.ndarray:
+    ctx, at = np.unique(keys // UNITS, return_inverse=True)
+    seen = np.bincount(at * CLASSES + CLASS_OF[keys % UNITS], counts, len(ctx) * CLASSES).reshape(len(ctx), CLASSES)
+    rows, total = features(ctx), seen.sum(axis=1, keepdims=True)
+    by = []
+    for f in range(_FEATURES):
+        order = np.argsort(rows[:, f], kind="stable")
+        own, first = np.unique(rows[order, f], return_index=True)
+        by.append((order, own, first))
+
+    def summed(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((ROWS, CLASSES))
+        for order, own, first in by:
+            out[own] += np.add.reduceat(x[order], first, axis=0)
+        return out
+
+    start = np.zeros((ROWS, CLASSES))
+    start[rows[0, 0]] = np.where(open_classes, np.log(seen.sum(axis=0) + 0.5), 0.0)
+    ascent = _Ascent(start, summed(seen), _FEATURES, prior)
+    for _ in range(updates):
+        logs = class_logs(ascent.ahead, rows, open_classes)
+        ascent.step(summed(total * np.exp(logs)), float(seen[:, open_classes].ravel() @ logs[:, open_classes].ravel()))
+    return ascent.weights
+
+
+def _train_words(keys: np.ndarray, counts: np.ndarray, background: np.ndarray, updates: int, prior: float) -> np.ndarray:
+    word = keys % UNITS
+    head = (word >= 1) & (word <= HEAD)
+    keys, counts, word = keys[head], counts[head], word[head]
+    if not len(keys):
+        return np.zeros(PAIRS)
+    one, c2, group = keys // UNITS**2, CLASS_OF[keys // UNITS % UNITS], (word - 1) // GROUP
+    of, at = np.unique((one * CLASSES + c2) * GROUPS + group, return_inverse=True)
+    seen = np.bincount(at * GROUP + (word - 1) % GROUP, counts, len(of) * GROUP).reshape(len(of), GROUP)
+    total, group = seen.sum(axis=1, keepdims=True), of % GROUPS
+    active = word_features(of // GROUPS // CLASSES, of // GROUPS % CLASSES, group)
+    every, offset = active.reshape(-1), background[group]
+    there = np.isfinite(offset)
+    summed = lambda x: np.bincount(every, np.repeat(x.reshape(-1), _WORD_FEATURES), PAIRS)
+    ascent = _Ascent(np.zeros(PAIRS), summed(seen), _WORD_FEATURES, prior)
+    for _ in range(updates):
+        logs = word_logs(ascent.ahead, active, offset)
+        ascent.step(summed(total * np.exp(logs)), float((seen[there] * logs[there]).sum()))
+    return ascent.weights
+
+
+def _train(held, updates: int, prior: float):
+    """The weights of each block that reaches a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_classes, background = held.value
+        for block, (keys, counts) in _gathered(batches).items():
+            w = _train_classes(keys, counts, open_classes, updates, prior).astype("<f4")
+            v = _train_words(keys, counts, background, updates, prior).astype("<f4")
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([w.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["block", "classes", "words"])
+        release()
 
     return run
 
 
 @dataclass
 class Model:
-    top: np.ndarray  # hashes of the words that are classes
-    weights: np.ndarray
-    norm: np.ndarray  # log10 of the softmax denominator within each class
+    top: np.ndarray  # hashes of the words that are units, by rank
+    open_classes: np.ndarray  # classes that a token can have
+    background: np.ndarray  # log share of each word in its group (GROUPS x GROUP)
+    classes: np.ndarray  # weights of classes (CLASSES x ROWS x CLASSES)
+    words: np.ndarray  # weights of words (CLASSES x PAIRS)
+    norm: np.ndarray  # log10 of the softmax denominator within each spelling
     tokens: int  # N
     types: int  # V
     ends: int  # count of the end token
     frequent: np.ndarray  # sorted hashes of frequent words, and their counts
     frequent_n: np.ndarray
-    table: np.ndarray | None = field(default=None, repr=False)
-    known: np.ndarray | None = field(default=None, repr=False)
-
-    def log10_class(self, ctx: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """log10 p(class | context) of each token; contexts are computed when they first occur."""
-        if self.table is None:
-            self.table, self.known = np.zeros((CLASSES**3, CLASSES), np.float32), np.zeros(CLASSES**3, bool)
-        new = np.flatnonzero(np.bincount(ctx, minlength=CLASSES**3).astype(bool) & ~self.known)
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            self.table[part] = log_softmax(self.weights, part) / np.log(10)
-        self.known[new] = True
-        return self.table[ctx, cls].astype(np.float64)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"table": None, "known": None}
-
-
-def fit(train: DataFrame, updates: int = UPDATES) -> tuple[Model, DataFrame]:
-    """A model of the column ``text``, and the table of word counts (h, kind, n)."""
+
+    def log10_unit(self, ctx: np.ndarray, unit: np.ndarray, at_once: int = 8192) -> np.ndarray:
+        """log10 p(unit | context) of each token; each context that occurs is computed once."""
+        out = np.zeros(len(ctx))
+        kind = CLASS_OF[unit]
+        by_block = CLASS_OF[ctx // UNITS]
+        order = np.lexsort((ctx, by_block))
+        seen, inverse = np.unique(by_block[order] * UNITS**2 + ctx[order], return_inverse=True)
+        cuts = np.searchsorted(inverse, np.arange(0, len(seen) + at_once, at_once))
+        block_of, ctx_of = seen // UNITS**2, seen % UNITS**2
+        for n, a in enumerate(range(0, len(seen), at_once)):
+            part, own = slice(a, a + at_once), order[cuts[n] : cuts[n + 1]]
+            z = np.where(self.open_classes, 0.0, -np.inf) + np.zeros((len(ctx_of[part]), CLASSES))
+            for f in features(ctx_of[part]).T:
+                z += self.classes[block_of[part], f]
+            out[own] = _log_softmax(z)[inverse[cuts[n] : cuts[n + 1]] - a, kind[own]]
+        head = np.flatnonzero((unit >= 1) & (unit <= HEAD))
+        if len(head):
+            one, c2, group = ctx[head] // UNITS, CLASS_OF[ctx[head] % UNITS], (unit[head] - 1) // GROUP
+            of, at = np.unique((one * CLASSES + c2) * GROUPS + group, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            cuts = np.searchsorted(at[order], np.arange(0, len(of) + at_once, at_once))
+            for n, a in enumerate(range(0, len(of), at_once)):
+                part, own = of[a : a + at_once], order[cuts[n] : cuts[n + 1]]
+                first = part // GROUPS // CLASSES
+                active = word_features(first, part // GROUPS % CLASSES, part % GROUPS)
+                logs = _log_softmax(self.background[part % GROUPS] + self.words[CLASS_OF[first][:, None, None], active].sum(axis=2))
+                out[head[own]] += logs[at[own] - a, (unit[head[own]] - 1) % GROUP]
+        return out / np.log(10)
+
+
+def fit(train: DataFrame, updates: int = UPDATES, prior: float = PRIOR) -> tuple[Model, DataFrame]:
+    """A model of the column ``text``, and the table of word counts (h, n) beyond the frequent ones."""
     spark = train.sparkSession
     words = train.select("text").mapInArrow(_count_words, "h long, kind int, n long")
     counts = work_table(words.groupBy("h").agg(F.min("kind").alias("kind"), F.sum("n").alias("n")), "words")
     texts = train.count()
     by_kind = {r.kind: (r.n, r.v) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    top = counts.orderBy(F.desc("n"), "h").limit(TOP_WORDS).collect()
+    top = counts.orderBy(F.desc("n"), "h").limit(HEAD).collect()
     step = F.floor(F.log2("n") * 4).cast("int")
     room, floor = FREQUENT, None
     for r in sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r.s):  # a few hundred rows
@@ -241,37 +373,33 @@ def fit(train: DataFrame, updates: int = UPDATES) -> tuple[Model, DataFrame]:
     h = often["h"].to_numpy().view(np.uint64) if often is not None else np.zeros(0, np.uint64)
     n = often["n"].to_numpy() if often is not None else np.zeros(0, np.int64)
     order = np.argsort(h)
-    size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    size, kinds = np.zeros(SPELLED), np.zeros(SPELLED)
     for kind, (total, v) in by_kind.items():
         size[kind], kinds[kind] = total, v
     for r in top:
         size[r.kind] -= r.n
         kinds[r.kind] -= 1
     norm = np.log10(size + kinds + 1)
-    norm[:_FIRST_SPELLED] = 0.0
-    model = Model(np.array([r.h for r in top], np.int64).view(np.uint64), np.zeros((BUCKETS, CLASSES), np.float32), norm, sum(t for t, _ in by_kind.values()) + texts, sum(v for _, v in by_kind.values()) + (texts > 0), texts, h[order], n[order])
-    contexts_by_block = train.select("text").mapInArrow(_count_contexts(model.top), "block int, keys binary, counts binary")
-    table = work_table(contexts_by_block.repartitionById(CLASSES, "block").mapInArrow(_sum_contexts, "block int, keys binary, counts binary"), "contexts").repartitionById(GRADIENT_TASKS, F.col("block") % GRADIENT_TASKS)
-    table = work_table(table, "contexts8")
-    # accelerated gradient ascent: half the number of features bounds the curvature of each
-    # weight by the tokens that have it, so every step is safe; it restarts when gain is lost
-    weights = before = np.zeros((BUCKETS, CLASSES))
-    best, t = -np.inf, 1.0
-    for _ in range(updates if texts else 0):
-        ahead = weights + (t - 1) / (t + 2) * (weights - before)
-        held = spark.sparkContext.broadcast(ahead)
-        grad, weight, gain = np.zeros_like(weights), np.zeros(BUCKETS), 0.0
-        for r in table.mapInArrow(_gradient(held), "gain double, rows binary, grad binary, weight binary").toArrow().to_pylist():  # one a partition, each at most as large as the weights
-            rows = np.frombuffer(r["rows"], "<i4")
-            own = np.frombuffer(r["weight"])
-            grad[rows] += np.frombuffer(r["grad"], "<f2").reshape(-1, CLASSES) * own[:, None]  # sent by token, in half precision
-            weight[rows] += own
-            gain += r["gain"]
-        held.destroy()
-        t = t + 1 if gain >= best else 1.0
-        best = gain
-        before, weights = weights, ahead + (grad - PRIOR * ahead) / (0.5 * FEATURES * weight + PRIOR)[:, None]
-    model.weights = weights.astype(np.float32)
+    own = np.zeros(HEAD)
+    own[: len(top)] = [r.n for r in top]
+    own = own.reshape(GROUPS, GROUP)
+    with np.errstate(divide="ignore"):
+        background = np.log(own)  # a group without words is closed
+    background[own.sum(axis=1) == 0] = 0.0
+    open_classes = np.concatenate([[True], own.sum(axis=1) > 0, np.ones(SPELLED, bool)])
+    model = Model(
+        np.array([r.h for r in top], np.int64).view(np.uint64), open_classes, background, np.zeros((CLASSES, ROWS, CLASSES), np.float32), np.zeros((CLASSES, PAIRS), np.float32), norm,
+        sum(t for t, _ in by_kind.values()) + texts, sum(v for _, v in by_kind.values()) + (texts > 0), texts, h[order], n[order],
+    )
+    slices = max(1, -(-model.tokens // (CLASSES * SLICE_TOKENS)))
+    triples = train.select("text").mapInArrow(_count_triples(model.top, slices), _TRIPLES)
+    if slices > 1:
+        triples = triples.repartitionById(CLASSES * slices, "route").mapInArrow(_sum_slices(slices), _TRIPLES)
+    held = spark.sparkContext.broadcast((open_classes, background))
+    trained = triples.repartitionById(CLASSES, "route").mapInArrow(_train(held, updates, prior), "block int, classes binary, words binary")
+    for r in trained.toArrow().to_pylist():  # a row for each class, 23 MB in all
+        model.classes[r["block"]] = np.frombuffer(r["classes"], "<f4").reshape(ROWS, CLASSES)
+        model.words[r["block"]] = np.frombuffer(r["words"], "<f4")
     return model, (counts.where(step < floor) if floor is not None else counts).select("h", "n")
 
 
@@ -281,18 +409,19 @@ _DDL = "row long, doc_id long, n_tokens long, known long, base double, own doubl
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row = model.value, TaskContext.get().partitionId() << 33
-        spelled_norm = m.norm
         for b, w in _texts(batches):
-            cls, starts, place = classes_of(w, m.top)
-            own = m.log10_class(contexts(cls, starts), cls) - spelled_norm[cls]
+            unit, starts, place = units_of(w, m.top)
+            spelled = unit > HEAD
+            own = m.log10_unit(contexts(unit, starts), unit)
+            own[spelled] -= m.norm[unit[spelled] - 1 - HEAD]
             at = np.minimum(np.searchsorted(m.frequent, w.hash), max(len(m.frequent) - 1, 0))
             hit = m.frequent[at] == w.hash if len(m.frequent) else np.zeros(len(w.hash), bool)
             log_n = np.zeros(len(w.hash))
             log_n[hit] = np.log10(m.frequent_n + 1.0)[at[hit]]
-            base = np.full(len(cls), np.log10(m.ends + 1.0))
+            base = np.full(len(unit), np.log10(m.ends + 1.0))
             base[place] = log_n
-            own[place] += np.where(cls[place] >= _FIRST_SPELLED, log_n, 0.0)
-            known = np.full(len(cls), int(m.ends > 0))
+            own[place] += np.where(spelled[place], log_n, 0.0)
+            known = np.full(len(unit), int(m.ends > 0))
             known[place] = hit
             rare = w.hash[~hit].view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(~hit)])[w.first].astype(np.int32)
