@@ -6,12 +6,13 @@ with equal payloads of ``min_revisit`` bytes or more, the one with the largest p
 Index: captures are range-sorted by reversed-host URL key into shards; each shard packs its
 sorted lines into compressed blocks and keeps a sparse directory (first key of each block).
 Lookup: binary search over shards, then over the shard's directory, then in the block,
-which is fetched by one range read; the record itself is another range read.
+which is fetched by one range read; the record itself is another range read. A repeated key may
+fill several blocks and shards; each shard's part is looked up by itself, block by block.
 
 Scale: HTML moves once (to learn which record is a revisit), everything after is a line a
 page. Shards and their names are as many as partitions, which bounds what a lookup task is
-given; a directory is read only where a key falls into it, and block and directory caches
-work because lookups arrive in key order. Sort keys include the page id, so one host or URL
+given: a repeated key is cut by shard as any other rows; a directory is read only where a key falls
+into it, and block and directory caches work because lookups arrive in key order. Sort keys include the page id, so one host or URL
 with a third of all rows spans many shards. Archives roll over at ``ROLL_BYTES``. A retried
 task writes new files under new names, and the index, a committed table, names only the
 files of tasks that succeeded.
@@ -44,6 +45,7 @@ from ._common import by_size, partitions, work_path, work_table
 
 ROLL_BYTES = 1 << 28
 BLOCK_LINES = 512
+_FOUND = 4096
 _NONE = -(2**63)  # stands for a null page id in keys
 _SPACE = uuid.UUID("6f1b1a52-7a57-4c1e-9b33-000000000000").int >> 64 << 64
 
@@ -181,12 +183,8 @@ def _shard(folder: str):
             for key, file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines.append(f"{key}\t{file}\t{offset}\t{length}\n")
                 last = key
-                # a key never straddles blocks, so that one block answers a lookup
-                if len(lines) >= BLOCK_LINES and not lines[0].startswith(f"{key}\t"):
-                    held = [x for x in lines if x.startswith(f"{key}\t")]
-                    lines = lines[: len(lines) - len(held)]
+                if len(lines) >= BLOCK_LINES:
                     flush()
-                    lines = held
         if lines:
             flush()
         if out is None:
@@ -212,7 +210,7 @@ class CaptureIndex:
 
     def __init__(self, folder: str, shards: list[tuple[str, str, str, str]]):
         self.fs, self.path = _open(folder)
-        self.shards, self.lasts = shards, [s[1] for s in shards]
+        self.shards = shards
         self.directory, self.block = lru_cache(4)(self._directory), lru_cache(8)(self._block)
 
     def _directory(self, name: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -225,43 +223,63 @@ class CaptureIndex:
             rows = [x.split("\t") for x in zlib.decompress(f.read_at(length, offset), 31).decode().split("\n")[:-1]]
         return [r[0] for r in rows], rows
 
-    def lookup(self, key: str) -> list[tuple[str, int, int]]:
-        """File, offset and length of every capture with this key."""
-        found, s = [], bisect.bisect_left(self.lasts, key)
-        while s < len(self.shards) and self.shards[s][0] <= key:  # a repeated key may span shards
-            firsts, places = self.directory(self.shards[s][3])
-            b = max(bisect.bisect_right(firsts, key) - 1, 0)
-            keys, rows = self.block(self.shards[s][2], *places[b])
-            for k in range(bisect.bisect_left(keys, key), len(keys)):
-                if keys[k] != key:
-                    break
-                found.append((rows[k][1], int(rows[k][2]), int(rows[k][3])))
-            s += 1
-        return found
+    def lookup(self, key: str, shard: int) -> Iterator[list[tuple[str, int, int]]]:
+        """File, offset and length of every capture with this key in a shard, a block at a time."""
+        _, _, name, directory = self.shards[shard]
+        firsts, places = self.directory(directory)
+        # the block before the first that begins with the key may end with it
+        for b in range(max(bisect.bisect_left(firsts, key) - 1, 0), bisect.bisect_right(firsts, key)):
+            keys, rows = self.block(name, *places[b])
+            own = rows[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
+            if own:
+                yield [(r[1], int(r[2]), int(r[3])) for r in own]
+
+
+def shards_of(key: str, shards: list[tuple[str, str, str, str]], lasts: list[str]) -> Iterator[int]:
+    """The shards, in order of their keys, that may have a key."""
+    s = bisect.bisect_left(lasts, key)
+    while s < len(shards) and shards[s][0] <= key:
+        yield s
+        s += 1
 
 
 def _lookup(folder: str, shards: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = CaptureIndex(folder, shards)
-        for batch in batches:
-            found = [(k, *place) for k in batch.column(0).to_pylist() for place in index.lookup(k)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), _CAPTURE, strict=True)], schema=_CAPTURE)
+        index, found = CaptureIndex(folder, shards), []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), _CAPTURE, strict=True)], schema=_CAPTURE)
+
+        for b in batches:
+            for key, shard in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for places in index.lookup(key, shard):
+                    found += [(key, *place) for place in places]
+                    if len(found) >= _FOUND:
+                        yield batch()
+                        found = []
+        if found:
+            yield batch()
 
     return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys = [_key(url, _NONE if page is None else page) for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], ["key"])
+def _keys(shards: list):
+    lasts = [s[1] for s in shards]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [_key(url, _NONE if page is None else page) for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            pairs = [(k, s) for k in keys for s in shards_of(k, shards, lasts)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([s for _, s in pairs], pa.int32())], ["key", "shard"])
+
+    return run
 
 
 def lookup(pages: DataFrame, folder: str, shards: list[tuple[str, str, str, str]]) -> DataFrame:
     """The captures of the distinct ``(url, page_id)`` of ``pages``, found through the index."""
     n = partitions(pages.sparkSession)
-    keys = pages.select("url", "page_id").mapInArrow(_keys, "key string").distinct()
-    return keys.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(_lookup(_uri(folder), shards), _CAPTURE_DDL)
+    keys = pages.select("url", "page_id").mapInArrow(_keys(shards), "key string, shard int").distinct()
+    return keys.repartitionByRange(n, "shard", "key").sortWithinPartitions("shard", "key").mapInArrow(_lookup(_uri(folder), shards), _CAPTURE_DDL)
 
 
 _RECORD_DDL = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
