@@ -9,16 +9,19 @@ beforehand); rarer positions go through the orders' own sorted hash arrays. The
 with the lowest cross-entropy per symbol wins, ties to the smaller name.
 
 Score: the posterior of the winner, from the entropies times at most ``EVIDENCE`` symbols.
-Rejection: a text is rejected if it has no letter, or if its entropy exceeds, by a margin
-that shrinks with length, the highest that calibration texts have under their own language.
-
-Scale: the model is fitted on at most about ``SAMPLE`` labelled texts a language (chosen by
-hash, so the bound holds at any size); its n-grams are counted in Spark. Everything else is
+Rejection: a text is rejected if it has no letter, or if its entropy under the winner exceeds that
+language's limit by a margin that shrinks with length. The limit is calibrated on labelled texts that the
+n-grams were not counted on: the ``QUANTILE`` of their entropies under their own language, so that
+a few odd or mislabelled ones do not set it, and ``MARGIN`` nats.
+
+Scale: the model is fitted on at most about ``SAMPLE`` labelled texts a language and calibrated on
+about ``CALIBRATION`` more (chosen by hash, so the bounds hold at any size), of the ``LANGUAGES`` with the
+most texts; its n-grams are counted in Spark. Everything else is
 a map over rows: no shuffle, the model (a few MB, bounded by the sample) is broadcast.
 
 Defined results: a null text and one without letters get ``und`` with score 0. Rows without
 language are not learned from; without any labelled row every text gets ``und``. Other
-columns pass through; columns named as results are replaced. Repeated rows get equal
+columns pass through; columns named as results, in any case, are replaced. Repeated rows get equal
 results. An empty table gives an empty result.
 """
 
@@ -34,10 +37,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from ._common import by_size
+from ._common import by_size, others
 from ._words import mix
 
 SAMPLE = 500
+CALIBRATION = 200
+LANGUAGES = 200
+FEW = 50
+QUANTILE = 0.98
+MARGIN = 0.5
 EVIDENCE = 24
 ORDER = 4
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -142,7 +150,7 @@ class Model:
         self.languages = sorted(grams)
         alphabet = len(np.unique(np.concatenate([g[3] for g, _ in grams.values()]))) if grams else 1
         self.models = [KneserNey(*grams[name], alphabet) for name in self.languages]
-        self.limit = np.inf
+        self.limits = np.full(len(self.languages), np.inf)
         if grams:
             g = np.concatenate([grams[name][0] for name in self.languages], axis=1)
             self.keys, at = np.unique(gram_hash(g, ORDER), return_index=True)
@@ -170,7 +178,7 @@ class Model:
         low = h[np.arange(len(h)), best]
         score = 1.0 / np.exp(-(h - low[:, None]) * np.minimum(n, EVIDENCE)[:, None]).sum(axis=1)
         none = letters == 0
-        rejected = none | (low > self.limit + 4.0 / np.sqrt(np.maximum(n, 1)))
+        rejected = none | (low > self.limits[best] + 4.0 / np.sqrt(np.maximum(n, 1)))
         names = ["und" if x else self.languages[k] for k, x in zip(best, none, strict=True)]
         return names, np.where(none, 0.0, score), rejected, np.where(none, 0.0, low)
 
@@ -185,16 +193,21 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), *cols, pa.array(n.astype(np.int64))], ["lang", "c3", "c2", "c1", "x", "n"])
 
 
-def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model of the languages of the rows where ``train`` holds, from about ``sample`` texts each."""
+def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, calibration: int = CALIBRATION) -> Model:
+    """A model of the languages of the rows where ``train`` holds, from about ``sample`` texts each and
+    limits from about ``calibration`` others; of fewer texts, both get their share, but of under
+    ``FEW`` all serve for both."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit("language"), F.col(doc_id)).alias("h")).where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many as languages
+    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = {r["lang"]: r["count"] for r in often}
     if not sizes:
         return Model({})
-    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(sample / n, 1.0))])
-    # the hash, as a number from 0 to 1, is below the language's share
-    chosen = rows.where(F.shiftrightunsigned("h", 11) / float(2**53) < F.element_at(share, F.col("lang"))).select("text", "lang")
-    counted = chosen.mapInArrow(_count_grams, "lang string, c3 int, c2 int, c1 int, x int, n long").groupBy("lang", "c3", "c2", "c1", "x").agg(F.sum("n").alias("n")).toArrow()
+    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min((sample + calibration) / n, 1.0))])
+    # the hash, as a number from 0 to 1, is below the language's share; its last part is for calibration
+    place = F.shiftrightunsigned("h", 11) / float(2**53) / F.try_element_at(share, F.col("lang"))
+    chosen = rows.withColumn("place", place).where("place < 1")
+    few, learned = F.col("lang").isin([name for name, n in sizes.items() if n < FEW]), F.col("place") < sample / (sample + calibration)
+    counted = chosen.where(learned | few).select("text", "lang").mapInArrow(_count_grams, "lang string, c3 int, c2 int, c1 int, x int, n long").groupBy("lang", "c3", "c2", "c1", "x").agg(F.sum("n").alias("n")).toArrow()
     names = counted["lang"].to_numpy()
     grams = np.stack([counted[c].to_numpy().astype(np.uint32) for c in ("c3", "c2", "c1", "x")])
     n = counted["n"].to_numpy()
@@ -203,15 +216,17 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
         return model
 
     def own_entropy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {name: k for k, name in enumerate(model.languages)}
+        at = {name: k for k, name in enumerate(model.languages)}
         for b in by_size(batches, "text", 2 << 20):
             names = b.column("lang").to_pylist()
             h, n, letters = model.entropies(b.column("text").to_pylist())
-            own = [(float(h[i, place[name]]) - 4.0 / n[i] ** 0.5) for i, name in enumerate(names) if name in place and letters[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.float64())], ["h"])
+            own = [(name, float(h[i, at[name]]) - 4.0 / n[i] ** 0.5) for i, name in enumerate(names) if name in at and letters[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.string()), pa.array([y for _, y in own], pa.float64())], ["lang", "h"])
 
-    top = chosen.mapInArrow(own_entropy, "h double").agg(F.max("h")).first()[0]
-    model.limit = np.inf if top is None else top + 0.5
+    held_back = chosen.where(~learned | few).select("text", "lang")
+    found = held_back.mapInArrow(own_entropy, "lang string, h double").groupBy("lang").agg(F.percentile("h", F.lit(QUANTILE)).alias("h")).collect()  # at most LANGUAGES
+    limits = {r.lang: r.h + MARGIN for r in found}
+    model.limits = np.array([limits.get(name, max(limits.values(), default=np.inf)) for name in model.languages])
     return model
 
 
@@ -221,7 +236,7 @@ _RESULTS = [StructField("lang_pred", StringType()), StructField("score", DoubleT
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred, score, rejected, cross_entropy``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in {f.name for f in _RESULTS}]
+    keep = others(docs, _RESULTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches, text, 1 << 20):

@@ -62,3 +62,24 @@ def test_warc_read_fails_on_another_payload(spark, tmp_path, stored):
     assert [r.payload_bytes for r in warc.read(places.where("file = 'sound'"), folder, with_payload=False).collect()] == [19]
     with pytest.raises(Exception, match="not what its headers say"):
         warc.read(places.where("file = 'fake'"), folder, with_payload=False).collect()
+
+
+def test_index_over_many_blocks_shards_and_archives(spark, tmp_path, monkeypatch):
+    """A third of all rows repeat one url and page id; blocks and archives are small; one payload is long."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    monkeypatch.setattr(warc, "ROLL_BYTES", 5000)
+    monkeypatch.setattr(warc, "_FOUND", 10)
+    rows = [(k, f"http://h{k % 20}.org/{k}", f"body {k}") for k in range(200)] + [(5000, "http://hot.org/x", "same")] * 100 + [(None, None, "nothing")] * 30 + [(9000, "http://long.org/", "z" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder = "file://" + str(tmp_path / "w")
+    shards = warc.build_index(warc.write(df, folder), folder)
+    index = warc.CaptureIndex(folder, shards)
+    key = warc._key("http://hot.org/x", 5000)
+    own = list(warc.shards_of(key, shards, [s[1] for s in shards]))
+    places = [p for s in own for part in index.lookup(key, s) for p in part]
+    assert len(places) == len(set(places)) == 100 and len(own) > 1
+    assert max(len(index.directory(s[3])[0]) for s in shards) > 3 and len({p[0] for p in places}) >= 1
+    assert not [x for k in range(len(shards)) for x in index.lookup(warc._key("http://hot.org/y", 1), k)]
+    got = sorted((str(r.page_id), r.url or "", bytes(r.payload).decode()) for r in warc.read(warc.lookup(df, folder, shards), folder).collect())
+    assert got == sorted((str(p), u or "", h) for p, u, h in rows)
+    assert len(list((tmp_path / "w").glob("*.warc.gz"))) > 3

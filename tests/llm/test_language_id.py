@@ -76,7 +76,7 @@ def test_held_out_accuracy_and_rejection(spark):
     held = [r for r in rows if r.held_out]
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
     assert all(0 <= r.score <= 1 for r in rows)
-    assert sum(r.rejected for r in rows) <= 3
+    assert np.mean([r.rejected for r in rows]) < 0.005
 
 
 def test_edges(spark):
@@ -89,3 +89,48 @@ def test_edges(spark):
     none = li.fit(df, F.lit(False))
     assert {r.lang_pred for r in li.predict(df, none).collect()} == {"und"}
     assert li.predict(df.limit(0), model).count() == 0
+
+
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "xkcd qwrtz plmkj bvcxz zzgh wqrt kjhgf mnbvc pqwz xxrt vbnk lkjhq wrtp zxcvk hgfdw qzzx kplm nbvx rtqw",
+]
+
+
+def test_limits_come_from_other_texts_and_reject_what_is_foreign(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = li.fit(docs, F.lit(True))
+    assert np.isfinite(model.limits).all()
+    strange = spark.createDataFrame(list(enumerate(FOREIGN)), "doc_id long, text string")
+    assert all(r.rejected for r in li.predict(strange, model).collect())
+    # one junk text in ten that is labelled as a language moves no limit far
+    odd = docs.unionByName(spark.createDataFrame([(-k, FOREIGN[4], "en") for k in range(1, 4)], docs.schema))
+    again = li.fit(odd, F.lit(True))
+    assert np.abs(again.limits - model.limits).max() < 0.5
+
+
+def test_query_equals_a_plain_argmin(spark):
+    """The query's languages and scores against entropies of single texts under the fitted model."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = li.fit(docs.select("doc_id", "text", "lang"), ~held_out)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in li.op10_language_id(spark, d).collect():
+        t = texts[r.doc_id]
+        if not any(c.isalpha() for c in t or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        h, n, _ = model.entropies([t])
+        best = min(range(len(model.languages)), key=lambda k: h[0, k])
+        other = sum(math.exp(-(x - h[0, best]) * min(n[0], li.EVIDENCE)) for x in h[0])
+        assert r.lang_pred == model.languages[best] and abs(r.score - 1 / other) < 1e-6
+
+
+def test_names_that_differ_in_case_are_replaced(spark):
+    df = spark.createDataFrame([(1, "the cat", "aa", 3.0)], "doc_id long, text string, lang string, Score double")
+    out = li.predict(df, li.fit(df, F.lit(True)))
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected", "cross_entropy"] and out.select("score").count() == 1
