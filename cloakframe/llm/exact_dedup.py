@@ -9,7 +9,7 @@ unique and never leave their partition.
 Scale: a row costs about nine bytes of shuffle for the filter. Texts move only if their
 fingerprint repeats, and copies collapse before the shuffle (partial aggregation), so one
 group with a third of all rows sends one row per task. The repeated fingerprints and the
-verified groups are broadcast while their counted rows stay under ``BROADCAST_ROWS``, and
+verified groups are broadcast while their counted rows and bytes are within a bound, and
 joined by shuffle (adaptive execution splits a hot key) beyond.
 
 Defined results: a null text counts as empty; texts are equal when identical. Of equal
@@ -29,9 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import partitions, work_table
+from ._common import partitions, small_enough, work_table
 
-BROADCAST_ROWS = 1_000_000
 
 
 class CountingQuotientFilter:
@@ -160,16 +159,10 @@ def repeated_fingerprints(texts: DataFrame, text: str = "text") -> DataFrame:
     return parts.repartition(segments, "segment").mapInArrow(_repeated, "fingerprint long")
 
 
-def _sized(df: DataFrame, label: str) -> DataFrame:
-    """``df`` from a work table, marked for broadcast if its counted rows allow that."""
-    table = work_table(df, label)
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Verified groups of two and more equal texts: ``_fp, _sha, keep_id, group_size``."""
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_fp", F.xxhash64("_text"))
-    repeated = _sized(repeated_fingerprints(docs, text), "repeated")
+    repeated = small_enough(work_table(repeated_fingerprints(docs, text), "repeated"), F.lit(8))
     routed = rows.join(repeated, rows["_fp"] == repeated["fingerprint"], "left_semi")
     return (
         routed.groupBy("_text").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -181,7 +174,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def flag(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` as ``_row`` (a struct of its columns) with ``text_sha256,
     keep_id, group_size, kept``."""
-    found = _sized(groups(docs, doc_id, text), "groups")
+    found = small_enough(work_table(groups(docs, doc_id, text), "groups"), F.lit(112))
     plain = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.xxhash64(plain).alias("_key"), F.sha2(plain, 256).alias("text_sha256"), F.col(doc_id).alias("_id"))
     joined = rows.join(found, (rows["_key"] == found["_fp"]) & (rows["text_sha256"] == found["_sha"]), "left")
