@@ -434,16 +434,11 @@ def proxy_stream(spark, d):
     """The same messages through the stream: files in, state by id, files out, with audit events."""
     folders = {name: work_folder(spark, f"stream-{name}") for name in ("in", "out", "state", "audit")}
     _calls(spark, d, "{id}", _EMAIL).write.json(folders["in"])
-    had = spark.conf.get(proxy.ROCKS[0], None)
-    spark.conf.set(*proxy.ROCKS)
-    try:
-        answers = proxy.proxy_stream(proxy.read_messages(spark, folders["in"]), Config(include_summary=False))
-        query = proxy.write_answers(answers, folders["out"], folders["state"], "srv", folders["audit"], available_now=True)
-        if not query.awaitTermination(300):
-            query.stop()
-            raise RuntimeError("the stream did not end")
-    finally:
-        spark.conf.set(*proxy.ROCKS) if had == proxy.ROCKS[1] else spark.conf.unset(proxy.ROCKS[0]) if had is None else spark.conf.set(proxy.ROCKS[0], had)
+    answers = proxy.proxy_stream(proxy.read_messages(spark, folders["in"]), Config(include_summary=False))
+    query = proxy.write_answers(answers, folders["out"], folders["state"], "srv", folders["audit"], available_now=True)
+    if not query.awaitTermination(600):
+        query.stop()
+        raise RuntimeError("the stream did not end")
     return spark.read.schema(f"{proxy.MESSAGE}, total long").json(f"{folders['out']}/batch=*")
 
 

@@ -27,6 +27,7 @@ OUT = "value string, kind string, total long, type_counts map<string,long>"
 MESSAGE = "session string, seq long, value string"
 STREAM_OUT = f"{MESSAGE}, kind string, total long, type_counts map<string,long>"
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+NO_EMPTY = ("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
 
 def id_key(value) -> str:
@@ -150,7 +151,8 @@ def from_log(records: DataFrame) -> DataFrame:
 
 def write_answers(answers: DataFrame, folder: str, checkpoint: str, server: str = "", log: str | None = None, available_now: bool = False) -> StreamingQuery:
     """Write a stream of answers as JSON (``MESSAGE`` and ``total``) and, if ``log`` is a folder,
-    an audit event for each answer in which something was masked.
+    an audit event for each answer in which something was masked. State is kept in RocksDB;
+    ``available_now`` ends the query once what has arrived is answered.
 
     Each micro-batch has a folder of its own, which a repeated batch overwrites: rows are neither
     lost nor doubled."""
@@ -163,7 +165,17 @@ def write_answers(answers: DataFrame, folder: str, checkpoint: str, server: str
         kept.unpersist()
 
     writer = answers.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    spark, own = answers.sparkSession, dict([ROCKS])
+    if available_now:
+        own |= dict([NO_EMPTY])  # batches that only drop old state would never end the query
+    had = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:  # a query keeps the settings that it starts with
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def server_label(arguments: list[str]) -> str:

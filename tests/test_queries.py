@@ -42,5 +42,18 @@ def test_query(spark, con, name):
     assert rows and not any(isinstance(x, float) and math.isnan(x) for r in rows for x in r)
 
 
+@pytest.mark.parametrize("name", sorted(n for n in SQL if n.startswith(("mask_", "masked_", "detect_", "summary_", "low_", "explain_", "decisions_", "nhi_", "ird_", "sink_"))))
+def test_plans_compile(spark, name):
+    """With the way out for generated code that is too large closed, the plans still run."""
+    closed = {"spark.sql.codegen.fallback": "false", "spark.sql.codegen.factoryMode": "CODEGEN_ONLY"}
+    try:
+        for k, v in closed.items():
+            spark.conf.set(k, v)
+        assert entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        for k in closed:
+            spark.conf.unset(k)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from cloakframe.plans.config import Config
 from cloakframe.streaming import proxy
 
@@ -39,12 +37,26 @@ def test_oversize_and_failure():
 
 
 def test_stream(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = spark.createDataFrame([("s", k, v) for k, v in enumerate(LOG)], "session string, seq long, value string").coalesce(1)
-    rows.write.json(str(tmp_path / "in"))
-    stream = spark.readStream.schema("session string, seq long, value string").json(str(tmp_path / "in"))
-    query = proxy.proxy_stream(stream, QUIET).writeStream.format("memory").queryName("answers").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = sorted(r.value for r in spark.sql("SELECT value FROM answers").collect())
-    assert got == sorted(WANT.get(k, v) for k, v in enumerate(LOG))
-    assert spark.sql("SELECT sum(total) FROM answers").first()[0] == 3 and F is not None
+    """Two runs over a folder: state and counts go on, each micro-batch is written once."""
+    folders = {k: str(tmp_path / k) for k in ("in", "out", "cp", "log")}
+    kept = {k: spark.conf.get(k, None) for k in (proxy.ROCKS[0], proxy.NO_EMPTY[0])}
+
+    def run(rows):
+        spark.createDataFrame(rows, proxy.MESSAGE).coalesce(1).write.mode("append").json(folders["in"])
+        stream = proxy.proxy_stream(proxy.read_messages(spark, folders["in"]), QUIET)
+        assert proxy.write_answers(stream, folders["out"], folders["cp"], "srv", folders["log"], available_now=True).awaitTermination(120)
+        return spark.read.json(folders["out"])
+
+    rows = [("s", k, v) for k, v in enumerate(LOG)]
+    first = run(rows[:2])
+    assert first.count() == 2
+    every = {r.seq: r.value for r in run(rows[2:]).collect()}
+    assert every == {k: WANT.get(k, v) for k, v in enumerate(LOG)}
+    events = spark.read.json(folders["log"])
+    assert events.count() == 3 and {r.tool for r in events.collect()} == {"srv"}
+    assert {k: spark.conf.get(k, None) for k in kept} == kept
+
+
+def test_messages_from_a_log(spark):
+    log = spark.createDataFrame([(bytearray(b"s"), 7, bytearray(b"{}"))], "key binary, offset long, value binary")
+    assert [tuple(r) for r in proxy.from_log(log).collect()] == [("s", 7, "{}")]
