@@ -20,9 +20,9 @@ times the features of a token) and with momentum. Blocks share no weight, so the
 side by side and nothing is exchanged between them. Scoring: sparse batches in numpy, in which
 only the contexts that occur are computed.
 
-Scale: words are counted by task before their shuffle; triples too, packed, by block and, on large
-corpora, first by slices of blocks, so that what a task sums is bounded. Distinct triples of a
-block are (GROUP * units**2) at most and grow with the corpus up to that; so do distinct words.
+Scale: words are counted by task before their shuffle; triples too, packed, by block and slice, so
+that a task sums a bounded share of the corpus, into arrays of a fixed size (20 MB a block); a block is
+then the sum of its slices. Distinct words and the triples of a task grow with the corpus.
 Counts of frequent words (at most ``FREQUENT``, by a threshold found from a histogram) are
 broadcast; a text's other words are joined with their counts by shuffle, a few per cent of
 all tokens, none of them hot. Weights are classes * (ROWS * classes + PAIRS) numbers, about 23 MB.
@@ -59,7 +59,8 @@ PAIRS = 1 << 14  # weights of words, for each class before
 FREQUENT = 300_000
 UPDATES = 30
 PRIOR = 4.0  # of a weight's Gaussian prior: the inverse variance
-SLICE_TOKENS = 1 << 28  # of a block, a slice
+SLICE_TOKENS = 1 << 24  # of a block, a slice
+MOST_SLICES = 256
 _FEATURES, _WORD_FEATURES = 6, 3
 _COMPACT = 1 << 20
 
@@ -197,38 +198,56 @@ _TRIPLES = "route int, keys binary, counts binary"
 
 
 def _blocks(keys: np.ndarray, counts: np.ndarray, slices: int) -> Iterator[pa.RecordBatch]:
-    """Triples and counts by block (the class before) and slice of it, sorted."""
-    route = CLASS_OF[keys // UNITS**2] * slices + (_words.mix(keys.astype(np.uint64)) % np.uint64(slices)).astype(np.int64)
-    order = np.lexsort((keys, route))
-    keys, counts, route = keys[order], counts[order], route[order]
-    cuts = np.searchsorted(route, np.arange(CLASSES * slices + 1))
-    for r in np.flatnonzero(np.diff(cuts)):
-        a, b = cuts[r], cuts[r + 1]
+    """Sorted triples and counts by block (the class before), to the task's slice of it."""
+    block = CLASS_OF[keys // UNITS**2]  # in order, as units of a class are neighbours
+    cuts = np.searchsorted(block, np.arange(CLASSES + 1))
+    for c in np.flatnonzero(np.diff(cuts)).tolist():
+        a, b, r = cuts[c], cuts[c + 1], c * slices + TaskContext.get().partitionId() % slices
         planes = np.ascontiguousarray(keys[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T)  # sorted: the high bytes compress well
         yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([planes.tobytes()], pa.binary()), pa.array([counts[a:b].astype("<i8").tobytes()], pa.binary())], ["route", "keys", "counts"])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The sums of each route; parts are summed whenever they are twice what is distinct."""
-    sums: dict[int, tuple[list, list, int, int]] = {}
+_FIRST = np.searchsorted(CLASS_OF, np.arange(CLASSES + 1))  # the units of each class
+
+
+def _sums(batches: Iterator[pa.RecordBatch], slices: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Tokens of each block by context and class (units * UNITS x CLASSES), and by unit before, class
+    two before and word (units * CLASSES x HEAD); some 20 MB, whatever is summed."""
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for b in batches:
         for route, planes, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            k = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
-            keys, held, size, limit = sums.get(route, ([], [], 0, _COMPACT))
-            keys.append(k)
-            held.append(np.frombuffer(counts, "<i8"))
-            size += len(k)
-            if size > limit:
-                k, n = _summed(keys, held)
-                keys, held, size, limit = [k], [n], len(k), max(_COMPACT, 2 * len(k))
-            sums[route] = (keys, held, size, limit)
-    return {route: _summed(keys, held) for route, (keys, held, _, _) in sums.items()}
+            block = route // slices
+            first, units = _FIRST[block], _FIRST[block + 1] - _FIRST[block]
+            by_class, by_word = sums.setdefault(block, (np.zeros(units * UNITS * CLASSES), np.zeros(units * CLASSES * HEAD)))
+            keys = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+            counts = np.frombuffer(counts, "<i8")
+            for a in range(0, len(keys), _COMPACT):
+                k, n = keys[a : a + _COMPACT].astype(np.int64), counts[a : a + _COMPACT]
+                one, two, unit = k // UNITS**2 - first, k // UNITS % UNITS, k % UNITS
+                by_class += np.bincount((one * UNITS + two) * CLASSES + CLASS_OF[unit], n, len(by_class))
+                head = (unit >= 1) & (unit <= HEAD)
+                by_word += np.bincount(((one * CLASSES + CLASS_OF[two]) * HEAD + unit - 1)[head], n[head], len(by_word))
+    return sums
+
+
+_SUMS = "block int, classes binary, words binary"
+
+
+def _sparse(x: np.ndarray) -> bytes:
+    at = np.flatnonzero(x)
+    return at.astype("<u4").tobytes() + x[at].astype("<f8").tobytes()
+
+
+def _add_sparse(x: np.ndarray, raw: bytes) -> None:
+    n = len(raw) // 12
+    x[np.frombuffer(raw, "<u4", n)] += np.frombuffer(raw, "<f8", n, 4 * n)
 
 
 def _sum_slices(slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, n in _gathered(batches).values():
-            yield from _blocks(k, n, 1)
+        for block, (by_class, by_word) in _sums(batches, slices).items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_sparse(by_class)], pa.binary()), pa.array([_sparse(by_word)], pa.binary())], ["block", "classes", "words"])
+        release()
 
     return run
 
@@ -250,9 +269,10 @@ class _Ascent:
         self.ahead = self.weights + (self.t - 1) / (self.t + 2) * (self.weights - self.before)
 
 
-def _train_classes(keys: np.ndarray, counts: np.ndarray, open_classes: np.ndarray, updates: int, prior: float) -> np.ndarray:
-    ctx, at = np.unique(keys // UNITS, return_inverse=True)
-    seen = np.bincount(at * CLASSES + CLASS_OF[keys % UNITS], counts, len(ctx) * CLASSES).reshape(len(ctx), CLASSES)
+def _train_classes(block: int, sums: np.ndarray, open_classes: np.ndarray, updates: int, prior: float) -> np.ndarray:
+    seen = sums.reshape(-1, CLASSES)
+    ctx = np.flatnonzero(seen.any(axis=1))
+    seen, ctx = seen[ctx], ctx + _FIRST[block] * UNITS
     rows, total = features(ctx), seen.sum(axis=1, keepdims=True)
     by = []
     for f in range(_FEATURES):
@@ -275,15 +295,12 @@ def _train_classes(keys: np.ndarray, counts: np.ndarray, open_classes: np.ndarra
     return ascent.weights
 
 
-def _train_words(keys: np.ndarray, counts: np.ndarray, background: np.ndarray, updates: int, prior: float) -> np.ndarray:
-    word = keys % UNITS
-    head = (word >= 1) & (word <= HEAD)
-    keys, counts, word = keys[head], counts[head], word[head]
-    if not len(keys):
+def _train_words(block: int, sums: np.ndarray, background: np.ndarray, updates: int, prior: float) -> np.ndarray:
+    seen = sums.reshape(-1, GROUP)  # by unit before, class two before and group
+    of = np.flatnonzero(seen.any(axis=1))
+    if not len(of):
         return np.zeros(PAIRS)
-    one, c2, group = keys // UNITS**2, CLASS_OF[keys // UNITS % UNITS], (word - 1) // GROUP
-    of, at = np.unique((one * CLASSES + c2) * GROUPS + group, return_inverse=True)
-    seen = np.bincount(at * GROUP + (word - 1) % GROUP, counts, len(of) * GROUP).reshape(len(of), GROUP)
+    seen, of = seen[of], of + _FIRST[block] * CLASSES * GROUPS
     total, group = seen.sum(axis=1, keepdims=True), of % GROUPS
     active = word_features(of // GROUPS // CLASSES, of // GROUPS % CLASSES, group)
     every, offset = active.reshape(-1), background[group]
@@ -301,9 +318,17 @@ def _train(held, updates: int, prior: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_classes, background = held.value
-        for block, (keys, counts) in _gathered(batches).items():
-            w = _train_classes(keys, counts, open_classes, updates, prior).astype("<f4")
-            v = _train_words(keys, counts, background, updates, prior).astype("<f4")
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for block, classes, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                units = _FIRST[block + 1] - _FIRST[block]
+                own = sums.setdefault(block, (np.zeros(units * UNITS * CLASSES), np.zeros(units * CLASSES * HEAD)))
+                _add_sparse(own[0], classes)
+                _add_sparse(own[1], words)
+        for block in list(sums):
+            by_class, by_word = sums.pop(block)
+            w = _train_classes(block, by_class, open_classes, updates, prior).astype("<f4")
+            v = _train_words(block, by_word, background, updates, prior).astype("<f4")
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([w.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["block", "classes", "words"])
         release()
 
@@ -391,12 +416,11 @@ def fit(train: DataFrame, updates: int = UPDATES, prior: float = PRIOR) -> tuple
         np.array([r.h for r in top], np.int64).view(np.uint64), open_classes, background, np.zeros((CLASSES, ROWS, CLASSES), np.float32), np.zeros((CLASSES, PAIRS), np.float32), norm,
         sum(t for t, _ in by_kind.values()) + texts, sum(v for _, v in by_kind.values()) + (texts > 0), texts, h[order], n[order],
     )
-    slices = max(1, -(-model.tokens // (CLASSES * SLICE_TOKENS)))
+    slices = max(1, min(MOST_SLICES, -(-model.tokens // (CLASSES * SLICE_TOKENS))))
     triples = train.select("text").mapInArrow(_count_triples(model.top, slices), _TRIPLES)
-    if slices > 1:
-        triples = triples.repartitionById(CLASSES * slices, "route").mapInArrow(_sum_slices(slices), _TRIPLES)
+    sums = triples.repartitionById(CLASSES * slices, "route").mapInArrow(_sum_slices(slices), _SUMS)
     held = spark.sparkContext.broadcast((open_classes, background))
-    trained = triples.repartitionById(CLASSES, "route").mapInArrow(_train(held, updates, prior), "block int, classes binary, words binary")
+    trained = sums.repartitionById(CLASSES, "block").mapInArrow(_train(held, updates, prior), _SUMS)
     for r in trained.toArrow().to_pylist():  # a row for each class, 23 MB in all
         model.classes[r["block"]] = np.frombuffer(r["classes"], "<f4").reshape(ROWS, CLASSES)
         model.words[r["block"]] = np.frombuffer(r["words"], "<f4")

@@ -118,10 +118,9 @@ def test_training_improves_the_likelihood(spark):
 
 
 def test_slices_give_the_same_model(spark, monkeypatch):
-    _, df = small_corpus(spark)
+    df = small_corpus(spark)[1].repartition(4)
     one, _ = lm.fit(df.select("text"), 5)
     monkeypatch.setattr(lm, "SLICE_TOKENS", 3)
-    monkeypatch.setattr(lm, "_COMPACT", 16)
     many, _ = lm.fit(df.select("text"), 5)
     np.testing.assert_allclose(one.classes, many.classes, atol=1e-5)
     np.testing.assert_allclose(one.words, many.words, atol=1e-5)
