@@ -6,8 +6,9 @@ together from their favourable ends, scores every vector it meets, and stops whe
 score beats the bound that the lists' current heads allow for vectors not yet met. The
 best of all groups are then ranked; ties go to the smaller vec_id.
 
-Scale: a group has at most ``GROUP`` candidates and its queries arrive in blocks, after it,
-so a task holds one group and one block, however many queries there are. Of each group only
+Scale: there are as many groups as keep one's components at about ``GROUP_BYTES``, at any dimension;
+its queries arrive in blocks, after it, so a task holds one group (with a sorted copy and the lists'
+order: two and a half times its bytes) and one block, however many queries there are. Of each group only
 k rows a query leave the task, and Spark cuts them to k again before the shuffle. Copies of
 one vector are ordinary candidates.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._common import partitions, work_table
 
-GROUP = 1 << 18
+GROUP_BYTES = 1 << 27  # of components, as they are held in a task
 BLOCK = 1024
 _EXACT = 2.0**53
 
@@ -139,8 +140,8 @@ def search(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("vec"), is_query.alias("q")).where("id is not null and vec is not null")
     asked = rows.where("q and not exists(vec, x -> x is null or isnan(x) or abs(x) = double('infinity'))").groupBy("id").agg(F.min("vec").alias("vec"))
-    n = rows.count()
-    groups = max(-(-n // GROUP), min(partitions(spark), -(-n // (2 * BLOCK))), 1)
+    n, components = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
+    groups = max(-(-8 * components // GROUP_BYTES), min(partitions(spark), -(-n // (2 * BLOCK))), 1)
     kind = "grp long, dim int, kind int, ids binary, body binary"
     candidates = rows.select("id", "vec").mapInArrow(_blocks(groups, False), kind)
     queries = asked.mapInArrow(_blocks(groups, True), kind)
