@@ -50,7 +50,7 @@ class CountingQuotientFilter:
         if counts is None:
             fp, n = np.unique(fingerprints.astype(np.uint64, copy=False), return_counts=True)
         else:
-            order = np.argsort(fingerprints, kind="stable")
+            order = np.argsort(fingerprints, kind="stable")  # merges runs that are sorted, in linear time
             fp, n = fingerprints[order].astype(np.uint64, copy=False), counts[order]
             if len(fp):
                 new = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
@@ -93,7 +93,7 @@ class CountingQuotientFilter:
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        """One filter with the summed counts; the sorted runs are merged, no fingerprint is rehashed."""
+        """One filter with the summed counts: the filters' sorted fingerprints are merged, none is hashed again."""
         both = [f.items() for f in filters]
         return cls.build(np.concatenate([f for f, _ in both]) if both else np.zeros(0, np.uint64), np.concatenate([n for _, n in both]) if both else np.zeros(0, np.int64))
 
