@@ -17,6 +17,17 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.ones(1, np.uint64)
+
+
+def powers(n: int) -> np.ndarray:
+    """P**0 .. P**(n-1) modulo 2**64 at least: weights of places."""
+    global _powers
+    while len(_powers) < n:
+        step = np.uint64(pow(_BASE, len(_powers), 2**64))
+        _powers = np.concatenate([_powers, _powers * step])
+    return _powers
 
 
 def mix(h: np.ndarray) -> np.ndarray:

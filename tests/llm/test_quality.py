@@ -68,3 +68,23 @@ def test_edges(spark):
     trees = q.fit(measured, labels, F.lit(True))
     assert [r.score for r in q.score(measured, trees).collect()] == [0.5] * 4
     assert q.score(q.measure(docs.limit(0)), trees).count() == 0
+
+
+def test_query_equals_single_texts(spark):
+    """The query's scores against each text measured and scored by itself under trees fitted on the same rows."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    trees = q.fit(q.measure(docs), labels.select("doc_id", "quality"), ~held_out)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = q.op6_quality(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows[::7]:
+        alone = trees.base + sum(q._walk(trees, root, stats(texts[r.doc_id]).astype(np.float32).astype(float))[0] for root in trees.roots)
+        assert abs(r.score - 1 / (1 + np.exp(-alone))) < 1e-6 and r.predicted == (r.score >= 0.7)
+
+
+def test_long_texts_and_repeated_rows(spark):
+    rows = [(1, "the same words. " * 100_000), (1, "the same words. " * 100_000), (2, "short"), (2, "short")]
+    measured = q.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(measured) == 4 and len({(r.doc_id, tuple(r.stats)) for r in measured}) == 2
