@@ -6,6 +6,7 @@ The oracle's values are written out: none of them is made from the tables of rul
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,17 @@ def source_tsv(spark, d):
     return _delimited(spark, d, "\t")
 
 
+@_query("SELECT c_custkey AS ID, '[PII:name]' AS FULL_NAME, c_mktsegment AS SEGMENT FROM customer WHERE c_custkey >= 10")
+def source_database(spark, d):
+    """The result of a query in a database: one in the memory of a local master, so for tests only."""
+    url, driver = f"jdbc:derby:memory:cf{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("ID"), F.col("c_name").alias("FULL_NAME"), F.col("c_mktsegment").alias("SEGMENT"))
+    types = "FULL_NAME varchar(100), SEGMENT varchar(100)"
+    c.coalesce(1).write.format("jdbc").options(url=url, dbtable="PEOPLE", createTableColumnTypes=types, **driver).mode("overwrite").save()
+    found = payloads.database(spark, url, "select ID, FULL_NAME, SEGMENT from PEOPLE where ID >= 10", **driver)
+    return masking.mask(found, json_columns=set()).data
+
+
 @_query("""SELECT '{"id":' || c_custkey || ',"full_name":"[PII:name]","note":' || CASE WHEN c_custkey % 2 = 0 THEN 'null' ELSE '"' || c_mktsegment || '"' END || '}' AS value FROM customer""")
 def sink_json(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"), F.when(F.col("c_custkey") % 2 == 1, F.col("c_mktsegment")).alias("note"))

@@ -14,8 +14,8 @@ from cloakframe.functions.walk import Walker, dump, parse
 from cloakframe.operators import mask as masking
 from cloakframe.operators import retro, scan
 from cloakframe.plans.config import Config, QueryRejected, validate
-from cloakframe.plans.inspect_sql import UNKNOWN, WILDCARD, checked_plan, inspect, lineage, masked_sql, selected
-from cloakframe.sources import audit, catalog_dumps
+from cloakframe.plans.inspect_sql import UNKNOWN, WILDCARD, checked_plan, inspect, lineage, masked_sql, selected, statement
+from cloakframe.sources import audit, catalog_dumps, payloads
 
 NAMES = {
     "userEmail": "email", "email_address": "email", "mail": "email", "EMAIL": "email", "SSNField": "ssn", "social_security_number": "ssn", "dateOfBirth": "dob", "birth_date": "dob",
@@ -203,3 +203,27 @@ def test_redaction_stays_in_the_scan_stage(spark, sf_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "PushedFilters: [IsNotNull(doc_id), GreaterThan(doc_id,5)]" in plan
     assert cascade.java("x") == "(?U)x"
+
+
+def test_database(spark):
+    """The result of a query in a database, from the one that comes with Spark, masked."""
+    url, options = "jdbc:derby:memory:cf;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(1, "Ann Lee"), (2, "Bo Ray")], "ID int, FULL_NAME string")
+    rows.write.format("jdbc").options(url=url, dbtable="PEOPLE", createTableColumnTypes="FULL_NAME varchar(40)", **options).mode("overwrite").save()
+    found = payloads.database(spark, url, "select ID, FULL_NAME from PEOPLE where ID > 1", **options)
+    assert [tuple(r) for r in masking.mask(found, json_columns=set()).data.collect()] == [(2, "[PII:name]")]
+
+
+def test_rows_and_counts_of_one_scan(spark):
+    df = spark.createDataFrame([("Ann", "a@b.co", "555-123-4567"), (None, "x", "y")], "full_name string, note string, misc string")
+    data, seen = masking.mask(df, json_columns=set()).observed()
+    assert [tuple(r) for r in data.collect()] == [("[PII:name]", "[PII:email]", "555-123-4567"), (None, "x", "y")]
+    assert {k: v for k, v in seen.get.items() if v} == {"redacted": 2, "warned": 1, "name": 1, "email": 1}
+    with pytest.raises(ValueError, match="of its own"):
+        masking.mask(spark.createDataFrame([("a", "b")], "note string, __0 string"), json_columns=set())
+
+
+def test_statement_in_json():
+    assert statement("SELECT 1") == "SELECT 1"
+    assert statement('{"a":{"b":"SELECT 1"}}', "a.b") == "SELECT 1"
+    assert [statement(x, "a.b") for x in ("not json", "[]", '{"a":"x"}', '{"a":{"b":1}}', '{"a":[{"b":"x"}]}', "{}")] == [None] * 6
