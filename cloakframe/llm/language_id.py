@@ -45,7 +45,7 @@ CALIBRATION = 200
 LANGUAGES = 200
 FEW = 50
 QUANTILE = 0.98
-MARGIN = 0.5
+MARGIN = 1.0
 EVIDENCE = 24
 ORDER = 4
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
