@@ -11,17 +11,20 @@ __version__ = "0.1.0"
 BATCH_BYTES = "4m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
+_set: dict[str, str] = {}
 
 
-def ship(spark) -> None:
+def ship(spark, batch: str = BATCH_BYTES) -> None:
     """Send this package to the executors of the session, once for each application.
 
     Spark's own file server hands the archive out, so nothing needs to be installed there.
-    Arrow batches are bounded to ``BATCH_BYTES`` where the session has Spark's default.
+    Arrow batches of the session are bounded to ``batch`` where it has Spark's default, or what an
+    earlier call has set.
     """
     sc = spark.sparkContext
-    if spark.conf.get(_BATCH, None) in ("67108864b", "64MB", "64m"):
-        spark.conf.set(_BATCH, BATCH_BYTES)
+    if spark.conf.get(_BATCH, None) in ("67108864b", "64MB", "64m", _set.get(sc.applicationId)):
+        spark.conf.set(_BATCH, batch)
+        _set[sc.applicationId] = batch
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
