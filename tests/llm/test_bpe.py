@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -74,3 +75,16 @@ def test_edges(spark):
     assert bpe.encode(df.limit(0), PATH).count() == 0
     ids = spark.createDataFrame([(np.array([158, 99999999], "<u4").tobytes(),), (None,)], "ids binary")
     assert [r.decoded for r in bpe.decode(ids, PATH).collect()] == ["�", ""]
+
+
+def test_results_replace_columns_in_any_case(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 2)], "doc_id long, text string, IDS string, Decoded int")
+    out = bpe.encode_and_decode(df, PATH)
+    assert out.columns == ["doc_id", "text", "ids", "decoded"] and out.first().decoded == "a b"
+
+
+def test_other_pre_tokenizers_are_refused():
+    spec = json.loads(open(PATH, "rb").read())
+    for change in ({"add_prefix_space": True}, {"use_regex": False}, {"type": "Whitespace"}):
+        with pytest.raises(ValueError, match="pre-tokenizer"):
+            bpe.Vocabulary(json.dumps(spec | {"pre_tokenizer": spec["pre_tokenizer"] | change}).encode())

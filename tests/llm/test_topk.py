@@ -39,3 +39,12 @@ def test_ties_bad_vectors_and_large_values(spark):
     lim = lambda s: min(max(s, -(2**63)), 2**63 - 1)
     assert sorted(map(tuple, topk.search(df, F.col("vec_id") == 0, 5).collect())) == [(q, r, i, lim(s)) for q, r, i, s in brute(big, 5, 1000)]
     assert topk.search(df.limit(0), F.col("vec_id") == 0, 5).count() == 0
+
+
+def test_clashing_columns_and_many_groups(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist(), "x", 1.0) for i in range(60)] + [(100, [1.0] * 6, "x", 1.0)] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, Query_ID string, score double").repartition(3)
+    one = sorted(map(tuple, topk.search(df, F.col("vec_id") % 20 == 0, 5).collect()))
+    monkeypatch.setattr(topk, "GROUP_BYTES", 500)
+    assert sorted(map(tuple, topk.search(df, F.col("vec_id") % 20 == 0, 5).collect())) == one and len(one) == 4 * 5
