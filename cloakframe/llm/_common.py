@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
 _own_folders: dict[str, str] = {}
+_made = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,8 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; it is deleted when the application ends."""
+    """A new path in the shared folder; it is deleted when the application ends, or by :func:`drop_since`."""
     path = f"{shared_dir(spark)}/cloakframe-{label}-{uuid.uuid4().hex}"
+    _made.__dict__.setdefault("paths", []).append(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
@@ -48,10 +51,26 @@ def work_table(df: DataFrame, label: str) -> DataFrame:
     that survive the loss of any executor, and nothing upstream runs twice."""
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)  # needs the least memory of its own
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_made() -> int:
+    """How many work paths this thread has made: a mark for :func:`drop_since`."""
+    return len(_made.__dict__.get("paths", []))
+
+
+def drop_since(spark: SparkSession, mark: int, keep: int = 0) -> None:
+    """Delete the work paths that this thread has made since ``mark``, but for the last ``keep``. Only for
+    paths that no plan reads that is still to be run."""
+    paths = _made.__dict__.get("paths", [])
+    last = len(paths) - keep
+    for path in paths[mark:last]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del paths[mark:last]
+
+
 def fresh(key: Column | str) -> Column:
     """The same value under an expression Spark cannot match to an existing partitioning.
 
@@ -120,7 +139,7 @@ def binary_array(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def small_enough(table: DataFrame, size: Column, rows: int = 1_000_000) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, work_table
+from ._common import drop_since, fresh, tables_made, work_table
 
 
 def _star(rows: DataFrame, keep) -> DataFrame:
@@ -22,7 +22,9 @@ def _star(rows: DataFrame, keep) -> DataFrame:
 
 def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Edges (u, v) of longs -> one row (u, root) for each node other than its component's
-    smallest node. Self edges and repeats are harmless."""
+    smallest node, from a work table. Self edges and repeats are harmless. Rounds are about twice the
+    logarithm of the longest path; beyond ``max_rounds`` an error is raised."""
+    # each round replaces the table of the one before
     now = work_table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     for _ in range(max_rounds):
@@ -31,7 +33,9 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         linked = down.join(least, fresh(down["u"]) == fresh(least["k"])).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        mark = tables_made()
         now = work_table(linked.where("u <> v").distinct(), "stars")
+        drop_since(now.sparkSession, mark - 1, keep=1)  # the round before
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if state is not None and tuple(new)[:2] == tuple(state)[:2] and new[0] == new[2]:
             break

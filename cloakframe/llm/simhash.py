@@ -197,7 +197,7 @@ def _routes(budget: int, hot: dict[tuple[int, int], int]):
         for batch in batches:
             fp, *rest = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
             names = ["route", "block", "key", *batch.schema.names[1:]]
-            place = mix(rest[0] ^ fp) if rest else fp  # equal fingerprints of different rows are dealt too
+            place = mix(rest[0]) if rest else fp  # rows that carry a node are in the same chunk under each value
             for n, (at, width) in enumerate(blocks):
                 key = _rotate(fp, at)
                 value = key >> np.uint64(BITS - width)
@@ -208,7 +208,7 @@ def _routes(budget: int, hot: dict[tuple[int, int], int]):
                 for v, k in by_block[n].items():
                     own = np.flatnonzero(value == np.uint64(v))
                     if len(own):
-                        chunk = mix(_rotate(place[own], at)) % np.uint64(k)
+                        chunk = (place[own] if rest else mix(_rotate(place[own], at))) % np.uint64(k)
                         first = mix(np.array([v * len(blocks) + n], np.uint64))[0]
                         for j in range(k):
                             a, b = np.minimum(chunk, np.uint64(j)), np.maximum(chunk, np.uint64(j))
@@ -294,7 +294,7 @@ def components(docs: DataFrame, shingle: int = 5, budget: int = 3, seeds: tuple[
 
 def _labelled(table: DataFrame, edges: DataFrame) -> DataFrame:
     """``doc_id, key, node, root, component_id`` of the rows of ``table`` (doc_id, key, node)."""
-    roots = work_table(stars(edges), "roots")
+    roots = stars(edges)
     least = table.groupBy("node").agg(F.min("doc_id").alias("least"))
     root = F.coalesce("root", "node").alias("root")
     info = work_table(least.join(roots, fresh(least["node"]) == fresh(roots["u"]), "left").select("node", root, "least"), "nodes")

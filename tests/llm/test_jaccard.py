@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from cloakframe.llm import jaccard, simhash
@@ -76,15 +77,31 @@ def test_hot_groups_and_second_pass(spark):
     assert {r.doc_id for r in jaccard.near_dedup(df).collect()} == kept_by_brute_force(rows)
 
 
-def test_group_pairs_leave_out_only_what_shares_a_leader():
+def test_led_pairs_leave_out_only_what_shares_a_leader():
     rng = np.random.default_rng(6)
-    size = rng.integers(20, 30, 80)
-    sets = [rng.choice(40, n, replace=False).astype(np.uint64) for n in size]
-    sketch = jaccard.sketches(np.concatenate(sets), size)
-    got = {(int(a), int(b)) for i, j in jaccard.group_pairs(size, sketch, np.arange(80), 0, 80, (1, 2)) for a, b in zip(i, j, strict=True)}
-    near = {(i, j) for i in range(80) for j in range(i + 1, 80) if 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j]))}
-    both = got | {(b, a) for a, b in got}
-    assert near and all((i, j) in both or any((k, i) in both and (k, j) in both for k in range(80)) for i, j in near)
+    for groups in (1, 4, 40):
+        size = rng.integers(20, 30, 80)
+        sets = [rng.choice(40, n, replace=False).astype(np.uint64) for n in size]
+        sketch = jaccard.sketches(np.concatenate(sets), size)
+        node = rng.permutation(80)  # in order within each group, as tasks sort them
+        key = np.sort(rng.integers(0, groups, 80))
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        ties = jaccard.Ties(node, node)
+        for _ in jaccard.led_pairs(ties, lambda i, j: jaccard.least_apart(size, sketch, i, j, (1, 2)), cut):
+            pass
+        found = ties.pairs()
+        got = set(zip(found["u"].to_pylist(), found["v"].to_pylist(), strict=True))
+        assert len(got) == found.num_rows
+        follows = {(u, v): f for u, v, f in zip(*(found[c].to_pylist() for c in ("u", "v", "follows")), strict=True)}
+        after = {}  # of each node, with whom it is paired, and whom it follows
+        for (u, v), f in follows.items():
+            after.setdefault(v if f & 1 else u, set()).add(u if f & 1 else v)
+            if f == 3:
+                after.setdefault(u, set()).add(v)
+        near = {(node[i], node[j]) for i in range(80) for j in range(i + 1, 80) if key[i] == key[j] and 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j]))}
+        of = lambda x: after.get(x, set())
+        # a near pair is there, or both follow or are one node: if a pair fails, a row of the near pair is open
+        assert near and all((min(a, b), max(a, b)) in got or (of(a) | {a}) & (of(b) | {b}) for a, b in near)
 
 
 def test_edges(spark):
@@ -98,3 +115,41 @@ def test_operator_equals_brute_force_at_its_default(spark):
     rows = around_the_limit(random.Random(77), 120)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in simhash.near_dedup(df).collect()} == kept_by_brute_force(rows)
+
+
+def test_parities_never_exceed_the_differing_items():
+    rng = np.random.default_rng(11)
+    for n in (1, 30, 63, 64, 65, 400, 3000):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for lost, new in ((0, 0), (0, 1), (n // 5, 0), (n // 3, n // 2), (0, 3 * n)):
+            other = np.concatenate([base[lost:], rng.integers(0, 2**64, new, dtype=np.uint64)])
+            a, b = jaccard.parities(np.concatenate([base, other]), np.array([n, len(other)]))
+            got = jaccard.differing(a, b)
+            assert got <= lost + new and got % 2 == (lost + new) % 2 and (got > 0 or lost + new != 1)
+
+
+def test_texts_that_can_link_are_kept(spark):
+    """Against all pairs: no text with a partner is left out, and of the rest most are."""
+    rng = random.Random(5)
+    passage = list(range(10**6, 10**6 + 60))
+    sets = []
+    for _ in range(120):
+        base = [rng.randrange(10**5) for _ in range(rng.choice([1, 4, 9, 10, 30, 200]))]
+        sets.append(sorted(set(base)))
+        sets.append(sorted({rng.randrange(10**9) if rng.random() < rng.choice([0, 0.05, 0.11, 0.4]) else x for x in base}))
+    sets += [sorted({*passage, *(rng.randrange(10**9) for _ in range(800))}) for _ in range(40)]
+    like = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    whole = [frozenset(x) for x in sets]
+    linked = {i for i in range(len(sets)) for j in range(len(sets)) if i != j and like(whole[i], whole[j])}
+    rows = []
+    for k, x in enumerate(sets):  # in the order of a hash
+        x = sorted(x, key=lambda v: hash((v, 3)))
+        n = jaccard.prefix_lengths(np.array([len(x)]), (4, 5), jaccard.SPARE)[0]
+        rows.append((k, len(x), [hash((v, 3)) for v in x[:n]]))
+    df = spark.createDataFrame(rows, "id long, size long, prefix array<long>").repartition(4)
+    parts = df.mapInArrow(jaccard._packed(3), jaccard._PARTS).repartitionById(3, F.pmod("route", F.lit(3)).cast("int")).mapInArrow(jaccard._shared, jaccard._PARTS)
+    got = {r.able: r.prefix for r in parts.repartition(3, "chunk").mapInArrow(jaccard._able((4, 5)), "able long, prefix array<long>").collect()}
+    assert linked and linked <= set(got)
+    assert not any(len(sets) - 40 <= k for k in got)  # a shared passage in long texts is not enough
+    first = {k: set(x[: jaccard.prefix_lengths(np.array([n]), (4, 5))[0]]) for k, n, x in rows}
+    assert all(set(got[i]) <= first[i] for i in got) and all(set(got[i]) & set(got[j]) for i in linked for j in linked if i != j and like(whole[i], whole[j]))
