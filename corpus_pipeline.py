@@ -15,29 +15,30 @@ from pyspark.sql import functions as F
 
 from cloakframe import ship
 from cloakframe.llm import bpe, exact_dedup, jaccard, language_id, mixing
-from cloakframe.llm._common import work_table
+from cloakframe.llm._common import drop_since, tables_made, work_table
 
+BATCH = "1m"  # of Arrow: an executor runs all five stages, so each must be small
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the language models reject: null or without a letter, or unlike every
     language. Rows without lang are not learned from, but judged; repeated rows share the verdict."""
-    ship(spark)
+    ship(spark, BATCH)
     model = language_id.fit(docs.select("doc_id", "text", "lang"), F.lit(True))
     return language_id.predict(docs.select(*COLUMNS), model).where("not rejected").select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the largest doc_id; null equals empty; of repeated rows one stays."""
-    ship(spark)
+    ship(spark, BATCH)
     return exact_dedup.dedup(docs).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id (null last), of each component of texts with a five-word Jaccard
     index of 0.8 or more. Texts without words, null included, are one group; so are repeated rows."""
-    ship(spark)
+    ship(spark, BATCH)
     return jaccard.near_dedup(docs).select(*COLUMNS)
 
 
@@ -51,7 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit), their number, and whether decoding gives the text back;
     a null text has no ids. Every row has a result, repeated ones too."""
-    ship(spark)
+    ship(spark, BATCH)
     path = bpe.default_vocabulary()
     both = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
@@ -65,9 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_made()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = work_table(docs, name)
+            drop_since(spark, mark, keep=1)  # what the stage and the one before have left
     return docs
