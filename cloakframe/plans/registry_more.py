@@ -6,7 +6,6 @@ The oracle's values are written out: none of them is made from the tables of rul
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import sql_functions
 from ..operators import mask as masking
 from ..operators import retro, scan
-from ..sources import audit, catalog_dumps, payloads
+from ..sources import audit, catalog_dumps, embedded, payloads
 from ..sources.work import work_folder
 from ..streaming import proxy
 from .config import Config, QueryRejected, validate
@@ -88,12 +87,10 @@ def source_tsv(spark, d):
 
 @_query("SELECT c_custkey AS ID, '[PII:name]' AS FULL_NAME, c_mktsegment AS SEGMENT FROM customer WHERE c_custkey >= 10")
 def source_database(spark, d):
-    """The result of a query in a database: one in the memory of a local master, so for tests only."""
-    url, driver = f"jdbc:derby:memory:cf{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    """The result of a query in a database, which executors read from the shared folder."""
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("ID"), F.col("c_name").alias("FULL_NAME"), F.col("c_mktsegment").alias("SEGMENT"))
-    types = "FULL_NAME varchar(100), SEGMENT varchar(100)"
-    c.coalesce(1).write.format("jdbc").options(url=url, dbtable="PEOPLE", createTableColumnTypes=types, **driver).mode("overwrite").save()
-    found = payloads.database(spark, url, "select ID, FULL_NAME, SEGMENT from PEOPLE where ID >= 10", **driver)
+    url = embedded.packed(spark, c, "PEOPLE", "ID bigint, FULL_NAME clob, SEGMENT clob")
+    found = payloads.database(spark, url, "select ID, FULL_NAME, SEGMENT from PEOPLE where ID >= 10", driver=embedded.DRIVER)
     return masking.mask(found, json_columns=set()).data
 
 
