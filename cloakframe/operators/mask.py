@@ -49,14 +49,14 @@ def _named_column(key: Column, config: Config, forced: dict[str, str]) -> Column
 def _placeholder(label: Column, value: Column, config: Config, inner: bool) -> Column:
     shown = label
     if config.hash_values:
-        shown = F.concat_ws(":", label, pseudonym_native(value, config.hash_salt) if inner else pseudonym_column(value, config.hash_salt))
+        shown = F.concat_ws(":", label, (pseudonym_native if inner else pseudonym_column)(value, config.hash_salt, config.hash_digits))
     before, mark, after = config.redaction.partition("{type}")
     if not mark:
         return F.lit(config.redaction)
     return F.replace(F.lit(config.redaction), F.lit("{type}"), shown) if "{type}" in after else F.concat(F.lit(before), shown, F.lit(after))
 
 
-def pseudonym_native(value: Column, salt: str) -> Column:
+def pseudonym_native(value: Column, salt: str, digits: int = 8) -> Column:
     """The pseudonym as an expression, for places where no Python function can stand (inside
     arrays and maps): FNV-1a on two 32-bit halves, as a product of 64 bits would overflow."""
     low32 = F.lit(0xFFFFFFFF).cast("long")
@@ -70,7 +70,9 @@ def pseudonym_native(value: Column, salt: str) -> Column:
         return F.struct(hi.alias("hi"), p.bitwiseAND(low32).alias("lo"))
 
     start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
-    return F.aggregate(F.sequence(F.lit(1), F.octet_length(raw)), start, step, lambda h: F.lower(F.lpad(F.hex(h["hi"].bitwiseXOR(h["lo"])), 8, "0")))
+    eight = lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))
+    shown = lambda h: F.concat(eight(h["hi"]), eight(h["lo"])) if digits == 16 else eight(h["hi"].bitwiseXOR(h["lo"]))
+    return F.aggregate(F.sequence(F.lit(1), F.octet_length(raw)), start, step, shown)
 
 
 def json_udf(config: Config, forced: dict[str, str], key: str | None):

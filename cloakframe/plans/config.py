@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 
+from ..functions.hashing import DIGITS
 from ..functions.rules import DENYLIST, PATTERNS
 
 
@@ -29,6 +30,7 @@ class Config:
     summary_key: str = "_redaction_summary"
     hash_values: bool = False
     hash_salt: str = ""
+    hash_digits: int = 8  # 8, 16: of a pseudonym; 8 do not tell many values apart
     mask_results: bool = True
     max_payload_bytes: int = 5 * 1024 * 1024
     stats_enabled: bool = True
@@ -37,7 +39,7 @@ class Config:
     def from_dict(cls, tree: dict) -> Config:
         """Settings from a nested mapping (as a YAML or JSON file has it); unknown keys are ignored."""
         pii, stream, stats = tree.get("pii", {}), tree.get("stream", {}), tree.get("stats", {})
-        names = {"action", "wildcard_policy", "column_name_boost", "confidence_threshold", "redaction", "include_summary", "hash_values", "hash_salt"}
+        names = {"action", "wildcard_policy", "column_name_boost", "confidence_threshold", "redaction", "include_summary", "hash_values", "hash_salt", "hash_digits"}
         got = {k: pii[k] for k in names if k in pii}
         got |= {k: stream[k] for k in ("mask_results", "max_payload_bytes") if k in stream}
         denied = pii.get("column_denylist", pii.get("column_names", ()))
@@ -98,6 +100,8 @@ def validate(config: Config) -> tuple[list[str], list[str]]:
         errors.append("action must be mask, warn or reject")
     if config.wildcard_policy not in ("warn", "reject"):
         errors.append("wildcard_policy must be warn or reject")
+    if config.hash_digits not in DIGITS:
+        errors.append("hash_digits must be 8 or 16")
     for name, (regex, confidence) in sorted(config.patterns.items()):
         if not 0 <= confidence <= 1:
             errors.append(f"pattern {name}: confidence must lie between 0 and 1")

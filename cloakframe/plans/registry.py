@@ -232,9 +232,10 @@ HASH_SQL = f"SELECT c_custkey, '[PII:name:' || lower(lpad(to_hex((xor(h, h >> 32
 
 
 def pseudonym_join(spark, d):
-    """Orders a customer, joined on pseudonyms only."""
-    hashed = Config(hash_values=True, hash_salt="pepper")
-    key = lambda c: F.concat(F.lit("Customer#"), F.lpad(F.col(c).cast("string"), 9, "0")).alias("full_name")
+    """Orders a customer, joined on pseudonyms only: on all 64 bits, as eight digits are shared by different customers."""
+    hashed = Config(hash_values=True, hash_salt="pepper", hash_digits=16)
+    padded = lambda text: F.lpad(text, F.greatest(F.length(text), F.lit(9)), "0")  # noqa: E731  a key of more digits is not cut
+    key = lambda c: F.concat(F.lit("Customer#"), padded(F.col(c).cast("string"))).alias("full_name")
     left = masking.mask(read(spark, d, "customer").select(key("c_custkey"), "c_mktsegment"), hashed).data
     right = masking.mask(read(spark, d, "orders").select(key("o_custkey"), "o_totalprice"), hashed).data
     return left.join(right, "full_name").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("orders"))
